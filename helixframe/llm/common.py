@@ -46,3 +46,20 @@ def text_or_empty(column: str = "text") -> Column:
 def keep_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Only the named columns, so that further ones can't clash with ours."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def by_bytes(batches, limit: int = 16 << 20, column: str = "text"):
+    """Slices of Arrow batches with about limit bytes of text each, so that long texts don't add up."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            done = sizes[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(sizes, done + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
