@@ -80,4 +80,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM v
 """
 
-ORACLES = {"op6_chat_format": OP6, "op9_curriculum_mix": OP9, "op10_quality_rules": OP10}
+OP3 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN [w[1]] ELSE list_slice(w, i, i + 1) END AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS dest FROM documents
+  UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.dest
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(dest) AS component_id FROM reach GROUP BY node) c USING (doc_id)
+"""
+
+ORACLES = {"op3_near_dedup": OP3, "op6_chat_format": OP6, "op9_curriculum_mix": OP9, "op10_quality_rules": OP10}
