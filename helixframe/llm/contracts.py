@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import ann, chat, langid, mixing, near_dedup, packing, pii, quality, secret_scan
+from helixframe.llm import ann, chat, langid, mixing, near_dedup, packing, pii, quality, secret_scan, suffix_dedup
 from helixframe.llm.common import table
 
 
@@ -16,6 +16,10 @@ def vocab(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(table(spark, sf_dir, "documents"))
 

@@ -80,6 +80,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM v
 """
 
+OP1 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), n AS (
+  SELECT r, doc_id, x, length(x) // 2 AS n FROM d
+), w AS (
+  SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT r, x, unnest(range(0, n - 199)) AS i FROM n WHERE n >= 200)
+), hit AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1
+), edge AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM hit
+), run AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS z FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM edge) GROUP BY r, g
+), gap AS (
+  SELECT r, a, z, lead(a) OVER (PARTITION BY r ORDER BY a) AS next FROM run
+), kept AS (
+  SELECT gap.r, min(a) AS first, sum(z - a) AS removed, count(*) AS spans,
+    string_agg(substr(x, 2 * z + 1, 2 * (coalesce(next, n) - z)), '' ORDER BY a) AS rest
+  FROM gap JOIN n USING (r) GROUP BY gap.r
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN first IS NULL THEN x ELSE substr(x, 1, 2 * first) || rest END)) AS kept_sha256
+FROM n LEFT JOIN kept USING (r)
+"""
+
 OP3 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -100,4 +125,4 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(dest) AS component_id FROM reach GROUP BY node) c USING (doc_id)
 """
 
-ORACLES = {"op3_near_dedup": OP3, "op6_chat_format": OP6, "op9_curriculum_mix": OP9, "op10_quality_rules": OP10}
+ORACLES = {"op1_suffix_dedup": OP1, "op3_near_dedup": OP3, "op6_chat_format": OP6, "op9_curriculum_mix": OP9, "op10_quality_rules": OP10}
