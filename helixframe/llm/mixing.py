@@ -63,7 +63,7 @@ def sizes(docs: DataFrame, seed: str = "") -> DataFrame:
     """doc_id, source, size and a hash of doc_id that fixes the order in which a source is used."""
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     h = F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), h.alias("h")).withColumns(
+    return docs.select("doc_id", F.xxhash64("text").alias("tag"), F.col("source").cast("string").alias("source"), word_count().alias("size"), h.alias("h")).withColumns(
         {"bucket": F.shiftright("h", 48).cast("int"), "no_source": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit(""))}
     )
 
@@ -96,7 +96,7 @@ def assign(docs: DataFrame, curriculum: tuple[Schedule, ...] = CURRICULUM, budge
     so_far = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumns({"bucket_start": F.coalesce(F.sum("in_bucket").over(so_far), F.lit(0))}).drop("in_bucket")
     aims = targets(buckets.groupBy(*key).agg(F.sum("in_bucket").alias("source_size")), curriculum, budget, cap)
-    at = Window.partitionBy(*key, "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    at = Window.partitionBy(*key, "bucket").orderBy("h", "doc_id", "size", "tag").rowsBetween(Window.unboundedPreceding, -1)
     placed = of_doc.withColumns({"before": F.coalesce(F.sum("size").over(at), F.lit(0))})
     placed = placed.join(starts, [*key, "bucket"]).join(aims, key).withColumns({"before": F.col("before") + F.col("bucket_start")})
     whole = F.floor("target")
@@ -111,17 +111,19 @@ def assign(docs: DataFrame, curriculum: tuple[Schedule, ...] = CURRICULUM, budge
     passes = range(max(1, -int(-cap // 1)))
     out = placed.withColumns({"copies": F.filter(F.array(*[copy(k) for k in passes]), lambda c: c["words"] > 0)})
     taken = F.aggregate("copies", F.lit(0).cast("bigint"), lambda a, c: a + c["words"])
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "h")
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "tag")
 
 
 def mix(docs: DataFrame, curriculum: tuple[Schedule, ...] = CURRICULUM, budget: float = 1.5, cap: float = 2.0, seed: str = "") -> DataFrame:
     """The training stream: a row for each copy that the mix takes, with the columns of docs, range-sorted by position.
 
-    A copy taken in part keeps its first words and the spaces between them. doc_id must identify a row.
+    A copy taken in part keeps its first words and the spaces between them. Rows equal in doc_id and text are one
+    document, taken as often as they are together.
     """
-    plan = assign(docs, curriculum, budget, cap, seed).select(F.col("doc_id").alias("__id"), "size", F.explode("copies").alias("__copy"))
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    cut = F.regexp_extract("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), F.col("__copy.words").cast("string"), F.lit("}")), 0)
-    text = F.when(F.col("__copy.words") < F.col("size"), cut).otherwise(F.col("text"))
+    plan = assign(docs, curriculum, budget, cap, seed).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__of"), F.col("size").alias("__size"), F.explode("copies").alias("__copy"))
+    rows = docs.withColumns({"__tag": F.xxhash64("text")}).dropDuplicates(["doc_id", "__tag"])
+    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__of")))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__copy.words").cast("int")), "")
+    text = F.when(F.col("__copy.words") < F.col("__size"), cut).otherwise(F.col("text"))
     out = rows.select(F.col("__copy.position").alias("__position"), F.col("__copy.copy").alias("__pass"), *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
     return out.repartitionByRange("__position", "doc_id", "__pass").sortWithinPartitions("__position", "doc_id", "__pass").drop("__position", "__pass")

@@ -220,7 +220,11 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands:
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pipeline's stage: one document of each group stays, that with the smallest doc_id."""
+    """The pipeline's stage: one document of each group stays, that with the smallest doc_id; of rows that share it, one.
+
+    Documents without a doc_id can't be told apart and pass.
+    """
     names = docs.columns
     kept = cluster(docs, words, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    held = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return held.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in names])

@@ -129,4 +129,7 @@ def annotate(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The pipeline's stage: documents that no rule rejects, with the columns they came with, whatever their names."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("text"))
-    return annotate(packed, rules).where("kept").select("__row.*")
+    # a filter moves below a projection by copying its expressions, here a dozen arrays many times over; it can't pass a
+    # projection that numbers rows
+    judged = annotate(packed, rules).select("__row", "kept", F.monotonically_increasing_id().alias("__number"))
+    return judged.where("kept and __number >= 0").select("__row.*")

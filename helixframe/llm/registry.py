@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from helixframe.llm import contracts, oracles
 
 
 def queries() -> dict:
-    return {k: f for k, f in vars(contracts).items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in vars(contracts).items() if k.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
