@@ -1,4 +1,396 @@
-"""Queries over the driver's tables, one for each operator, with SQL that gives the same rows."""
+"""Queries over the driver's tables, one for each operator, with SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables hold no genomes, so operators run on analogues: order lines stand for exons of a transcript, event times for
+intervals, texts for sequences.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from helixframe.functions import dna, report
+from helixframe.operators import matrices, relational, tagging
+from helixframe.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+LINE = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+LINE_SQL = ", ".join(LINE)
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey,
+  CAST(date_diff('day', CAST(l_shipdate AS DATE), CAST(lead(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY {LINE_SQL}) AS DATE)) AS BIGINT) AS gap_days
+FROM lineitem""")
+def adjacent_pairs(spark, d):
+    lines = relational.adjacent_pairs(table(spark, d, "lineitem"), ["l_orderkey"], [F.col(c) for c in LINE], ["l_shipdate"])
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", F.datediff("next.l_shipdate", "l_shipdate").cast("bigint").alias("gap_days"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER w AS idx,
+  round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY {LINE_SQL} ROWS UNBOUNDED PRECEDING) / sum(l_quantity) OVER (PARTITION BY l_orderkey) * 100, 2) AS fraction
+FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {LINE_SQL})""")
+def fraction_position(spark, d):
+    order = [F.col(c) for c in LINE]
+    lines = relational.fraction_position(table(spark, d, "lineitem"), ["l_orderkey"], order, "l_quantity", "share")
+    w = Window.partitionBy("l_orderkey").orderBy(*order)
+    total = F.sum("l_quantity").over(Window.partitionBy("l_orderkey"))
+    run = F.sum("l_quantity").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(w).cast("bigint").alias("idx"), F.round(run / total * 100, 2).alias("fraction"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, first_value(l_partkey) OVER w AS winner, row_number() OVER w AS place
+FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY {LINE_SQL})""")
+def ordered_dedupe(spark, d):
+    out = relational.ordered_dedupe(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], [F.col(c) for c in LINE], "l_partkey")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "winner", F.col("place").cast("bigint").alias("place"))
+
+
+@query("""SELECT winner AS kept, l_partkey AS superseded, count(*) AS n FROM (
+  SELECT l_partkey, first_value(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY %s) AS winner, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY %s) AS place FROM lineitem
+) WHERE place > 1 GROUP BY 1, 2""" % (LINE_SQL, LINE_SQL))
+def duplicate_map(spark, d):
+    out = relational.ordered_dedupe(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], [F.col(c) for c in LINE], "l_partkey").where("place > 1")
+    return out.groupBy(F.col("winner").alias("kept"), F.col("l_partkey").alias("superseded")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey, c_nationkey, first_value(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS first_cust FROM customer""")
+def longest_group_first(spark, d):
+    out = relational.first_of_group(table(spark, d, "customer"), ["c_nationkey"], [F.desc("c_acctbal"), F.asc("c_custkey")], "c_custkey", "first_cust")
+    return out.select("c_custkey", "c_nationkey", "first_cust")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, count(*) OVER (PARTITION BY o_custkey, o_orderstatus) AS family_size FROM orders")
+def family_size(spark, d):
+    return relational.family_size(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_custkey", "o_orderstatus"])
+
+
+@query("""SELECT r_name, n_name, count(c_custkey) AS customers, CAST(coalesce(sum(n_orders), 0) AS BIGINT) AS orders, CAST(coalesce(sum(spent), 0) AS DOUBLE) AS spent
+FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey
+LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS spent FROM orders GROUP BY 1) ON o_custkey = c_custkey
+GROUP BY 1, 2""")
+def hierarchy_rollup(spark, d):
+    orders = table(spark, d, "orders").select("o_custkey", F.lit(1).alias("one"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    customers = relational.roll_up(orders, table(spark, d, "customer").select("c_custkey", "c_nationkey"), "o_custkey", "c_custkey", {"n_orders": "one", "spent": "price"})
+    customers = customers.withColumns({"one": F.lit(1)})
+    nations = relational.roll_up(customers, table(spark, d, "nation"), "c_nationkey", "n_nationkey", {"customers": "one", "orders": "n_orders", "spent": "spent"})
+    out = nations.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    zero = lambda c, t: F.coalesce(F.col(c), F.lit(0)).cast(t).alias(c)
+    return out.select("r_name", "n_name", zero("customers", "bigint"), zero("orders", "bigint"), zero("spent", "double"))
+
+
+@query("""SELECT child, depth, path FROM (
+  SELECT n_name AS child, CAST(1 AS BIGINT) AS depth, r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT s_name, 2, r_name || '/' || n_name || '/' || s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT r_name, 0, r_name FROM region)""")
+def hierarchy_paths(spark, d):
+    from helixframe.operators.hierarchy import paths
+
+    edges = table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"), F.col("n_name").alias("name"))
+    edges = edges.union(table(spark, d, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), "s_name"))
+    roots = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("child"), F.col("r_name").alias("name"))
+    return paths(roots, edges, 3).select(F.col("name").alias("child"), F.col("depth").cast("bigint").alias("depth"), "path")
+
+
+SPANS = "SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS a, CAST(floor(epoch(ts)) AS BIGINT) + 1800 + CAST(floor(abs(value)) AS BIGINT) * 60 AS z FROM events"
+
+
+def _spans(spark, d, kind, prefix=""):
+    start = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").where(F.col("event_type") == kind).select(F.col("event_id").alias(f"{prefix}event_id"), "user_id", start.alias(f"{prefix}a"), (start + 1800 + F.floor(F.abs("value")) * 60).alias(f"{prefix}z"))
+
+
+@query(f"""WITH s AS ({SPANS})
+SELECT e.event_id, p.event_id AS other_id, e.user_id, (e.a - p.z) * (e.z - p.a) < 0 AS crossing FROM s e JOIN s p ON e.user_id = p.user_id AND e.a <= p.z AND e.z >= p.a
+WHERE e.event_type = 'error' AND p.event_type = 'purchase'""")
+def interval_overlap(spark, d):
+    met = relational.overlapping(_spans(spark, d, "error"), _spans(spark, d, "purchase", "o_"), ["user_id"], ("a", "z"), ("o_a", "o_z"), 7200)
+    return met.select("event_id", F.col("o_event_id").alias("other_id"), "user_id", relational.overlaps(F.col("a"), F.col("z"), F.col("o_a"), F.col("o_z")).alias("crossing"))
+
+
+@query(f"""WITH s AS ({SPANS})
+SELECT event_id, user_id FROM s e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM s p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND e.a <= p.z AND e.z >= p.a)""")
+def anti_overlap(spark, d):
+    return relational.overlapping(_spans(spark, d, "error"), _spans(spark, d, "purchase", "o_"), ["user_id"], ("a", "z"), ("o_a", "o_z"), 7200, "left_anti").select("event_id", "user_id")
+
+
+@query("""SELECT coalesce(tag, '-') AS tag, count(*) AS n FROM (SELECT CASE WHEN length(text) < 100 THEN 's' WHEN regexp_matches(text, '[^ -~\n]') THEN 'a' WHEN lang <> 'en' THEN 'n' WHEN source = 'src0' THEN 'i' END AS tag FROM documents) GROUP BY 1""")
+def omission_case(spark, d):
+    tag = tagging.first_match([("s", F.length("text") < 100), ("a", F.col("text").rlike("[^ -~\n]")), ("n", F.col("lang") != "en"), ("i", F.col("source") == "src0")])
+    return table(spark, d, "documents").groupBy(F.coalesce(tag, F.lit("-")).alias("tag")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, n, round(n * 100.0 / sum(n) OVER (), 4) AS pct FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) QUALIFY row_number() OVER (ORDER BY n DESC, event_type) <= 5")
+def topk_with_pct(spark, d):
+    return relational.top_share(table(spark, d, "events"), "event_type", 5).withColumns({"pct": F.col("pct").cast("double")})
+
+
+HEAD = "lower(regexp_replace(text, '[^A-Za-z ]', '', 'g'))"
+MATRIX_SQL = f"""h AS (SELECT lang, substr({HEAD}, 1, 12) AS s FROM documents),
+z AS (SELECT lang, count(*) AS n, least(min(length(s)), 12) AS shortest FROM h GROUP BY 1),
+c AS (SELECT lang, p AS pos, substr(s, p + 1, 1) AS base, count(*) AS hits FROM (SELECT lang, s, unnest(range(0, length(s))) AS p FROM h) GROUP BY 1, 2, 3),
+l AS (SELECT DISTINCT lang, base FROM c UNION SELECT lang, unnest(['a', 'e', 'n', ' ']) FROM z),
+m AS (SELECT z.lang, p.pos, l.base, coalesce(c.hits, 0) / z.n AS freq FROM (SELECT lang, unnest(range(0, shortest)) AS pos FROM z) p JOIN z ON z.lang = p.lang JOIN l ON l.lang = p.lang LEFT JOIN c ON c.lang = p.lang AND c.pos = p.pos AND c.base = l.base)"""
+
+
+def _heads(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", F.substring(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), 1, 12).alias("s"))
+
+
+def _matrix(spark, d):
+    return matrices.letter_matrix(_heads(spark, d).select("lang", "s"), ["lang"], "s", 0, 12, ("a", "e", "n", " "))
+
+
+@query(f"WITH {MATRIX_SQL} SELECT lang, CAST(pos AS INTEGER) AS pos, base, freq FROM m")
+def pwm_build(spark, d):
+    return _matrix(spark, d)
+
+
+@query(f"""WITH {MATRIX_SQL},
+x AS (SELECT doc_id, lang AS own, substr({HEAD}, 1, 12) AS s FROM documents),
+sc AS (SELECT doc_id, own, k.lang, sum(log2(coalesce(m.freq, 0) + 0.0001)) AS score FROM (SELECT doc_id, own, s, unnest(range(0, length(s))) AS p FROM x) t CROSS JOIN (SELECT DISTINCT lang FROM z) k
+  LEFT JOIN m ON m.lang = k.lang AND m.pos = t.p AND m.base = substr(t.s, t.p + 1, 1) GROUP BY 1, 2, 3)
+SELECT doc_id, own AS lang, round(max(score) FILTER (lang = 'en') - max(score) FILTER (lang = 'fr'), 4) AS log_ratio FROM sc GROUP BY 1, 2""")
+def pwm_score(spark, d):
+    cells = matrices.as_map(matrices.add_pseudocount(_matrix(spark, d)), ["lang"])
+    known = {r["lang"]: r["cells"] for r in cells.collect()}  # a matrix for each language: a few hundred numbers
+    of = lambda x: F.map_from_arrays(F.array(*map(F.lit, known[x])), F.array(*map(F.lit, known[x].values())))
+    heads = _heads(spark, d).where("s <> ''")
+    ratio = matrices.log_ratio(matrices.product_score(F.col("s"), of("en"), 0), matrices.product_score(F.col("s"), of("fr"), 0))
+    return heads.select("doc_id", "lang", F.round(ratio, 4).alias("log_ratio"))
+
+
+@query("""WITH w AS (SELECT p_partkey, i, substr(p_name, i + 1, 4) AS k FROM (SELECT p_partkey, p_name, unnest(range(0, length(p_name) - 3)) AS i FROM part WHERE length(p_name) >= 4)),
+s AS (SELECT *, length(regexp_replace(k, '[^aeiou]', '', 'g')) AS score FROM w)
+SELECT p_partkey, CAST(max(score) AS BIGINT) AS score, CAST(arg_min(i, -score * 1000 + i) AS BIGINT) AS start, arg_min(k, -score * 1000 + i) AS seq FROM s GROUP BY 1""")
+def kmer_windows(spark, d):
+    vowels = F.transform(dna.kmers(F.col("p_name"), 4), lambda k, i: F.struct(F.length(F.regexp_replace(k, "[^aeiou]", "")).alias("score"), (-i).alias("left"), k.alias("seq")))
+    best = table(spark, d, "part").select("p_partkey", F.array_max(vowels).alias("b")).where("b is not null")
+    return best.select("p_partkey", F.col("b.score").cast("bigint").alias("score"), (-F.col("b.left")).cast("bigint").alias("start"), F.col("b.seq").alias("seq"))
+
+
+@query(f"SELECT p_partkey, reverse(translate(upper(p_name), '{dna.CODES}', '{dna.COMPLEMENTS}')) AS rc FROM part")
+def revcomp_text(spark, d):
+    return table(spark, d, "part").select("p_partkey", dna.reverse_complement(F.upper("p_name")).alias("rc"))
+
+
+@query("""SELECT doc_id, shift, ((doc_id + shift) % 3 + 3) % 3 AS phase FROM (SELECT doc_id, CAST(instr(text, regexp_extract(text, 't[aeio]n')) - 6 AS BIGINT) AS shift FROM documents WHERE regexp_matches(text, 't[aeio]n'))""")
+def regex_shift(spark, d):
+    at = F.regexp_instr("text", F.lit("t[aeio]n"))
+    found = table(spark, d, "documents").select("doc_id", at.alias("at")).where("at > 0").withColumns({"shift": (F.col("at") - 6).cast("bigint")})
+    return found.select("doc_id", "shift", F.pmod(F.col("doc_id") + F.col("shift"), F.lit(3)).alias("phase"))
+
+
+@query("SELECT conv_id, turn, coalesce(list_max(list_transform(regexp_extract_all(text, '[a-z]+'), lambda x: length(x))), 0) AS run FROM conversations")
+def longest_run(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", dna.longest_run(F.col("text"), "a-z").cast("bigint").alias("run"))
+
+
+@query("""WITH p AS (SELECT DISTINCT o_orderpriority AS p, substr(o_orderpriority, 1, 3) AS x FROM orders)
+SELECT p AS priority, CAST(hamming(x, '1-U') AS BIGINT) AS to_urgent, CAST(hamming(x, '2-H') AS BIGINT) AS to_high, CAST(hamming(x, '5-L') AS BIGINT) AS to_low FROM p""")
+def hamming_nearest(spark, d):
+    p = table(spark, d, "orders").select(F.col("o_orderpriority").alias("priority")).distinct()
+    x = F.substring("priority", 1, 3)
+    return p.select("priority", *[dna.hamming(x, F.lit(c)).cast("bigint").alias(n) for n, c in (("to_urgent", "1-U"), ("to_high", "2-H"), ("to_low", "5-L"))])
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, round((l_extendedprice - m) / s, 6) AS z FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem WHERE l_returnflag = 'R')""")
+def zscore_ref(spark, d):
+    out = relational.z_scores(table(spark, d, "lineitem"), "l_extendedprice", F.col("l_returnflag") == "R")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("z", 6).alias("z"))
+
+
+@query("""SELECT event_id, round((value - q[2]) / (q[3] - q[1]), 6) AS z FROM events, (SELECT [quantile_cont(value, 0.25), quantile_cont(value, 0.5), quantile_cont(value, 0.75)] AS q FROM events)""")
+def robust_scale(spark, d):
+    return relational.robust_scores(table(spark, d, "events"), "value").select("event_id", F.round("z", 6).alias("z"))
+
+
+@query("SELECT event_id, e.event_type, value FROM events e JOIN (SELECT event_type, quantile_cont(value, 0.95) AS cut FROM events GROUP BY 1) c ON c.event_type = e.event_type WHERE value < cut")
+def percentile_cut(spark, d):
+    return relational.below_percentile(table(spark, d, "events"), ["event_type"], "value", 0.95).select("event_id", "event_type", "value")
+
+
+@query("SELECT o_orderpriority, round(exp(avg(ln(o_totalprice))), 4) AS gmean, count(*) AS n FROM orders GROUP BY 1")
+def gmean_group(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(relational.geometric_mean(F.col("o_totalprice")), 4).alias("gmean"), F.count("*").alias("n"))
+
+
+def _by_flag(spark, d, lang_filter):
+    return matrices.letter_matrix(_heads(spark, d).where(lang_filter).select("lang", "s"), ["lang"], "s", 0, 12, ("a", "e", "n", " "))
+
+
+def _named_matrix(condition: str, p: str) -> str:
+    return MATRIX_SQL.replace("FROM documents)", f"FROM documents WHERE {condition})", 1).replace("h AS", f"{p}h AS", 1).replace("FROM h", f"FROM {p}h").replace("z AS (", f"{p}z AS (", 1).replace("c AS (", f"{p}c AS (", 1).replace("l AS (", f"{p}l AS (", 1).replace("m AS (", f"{p}m AS (", 1).replace("FROM z)", f"FROM {p}z)").replace("JOIN z ON", f"JOIN {p}z z ON").replace("JOIN l ON", f"JOIN {p}l l ON").replace("LEFT JOIN c ON", f"LEFT JOIN {p}c c ON").replace("FROM c ", f"FROM {p}c ").replace("FROM z ", f"FROM {p}z ")
+
+
+@query(f"""WITH {_named_matrix("doc_id % 2 = 0", "a")}, {_named_matrix("doc_id % 2 = 1 AND lang <> 'es'", "b")}
+SELECT am.lang, CAST(am.pos AS INTEGER) AS pos, am.base, round(CASE WHEN am.lang IN (SELECT lang FROM bm) THEN (am.freq + bm.freq) / 2 ELSE am.freq END, 10) AS freq
+FROM am LEFT JOIN bm ON bm.lang = am.lang AND bm.pos = am.pos AND bm.base = am.base WHERE bm.freq IS NOT NULL OR am.lang NOT IN (SELECT lang FROM bm)""")
+def avg_matrices(spark, d):
+    a, b = _by_flag(spark, d, "doc_id % 2 = 0"), _by_flag(spark, d, "doc_id % 2 = 1 and lang <> 'es'")
+    return matrices.average(a, b, ["lang"]).withColumns({"freq": F.round("freq", 10)})
+
+
+@query(f"WITH {MATRIX_SQL} SELECT lang, CAST(pos AS INTEGER) AS pos, max(freq) AS most, min(freq) AS least FROM m GROUP BY 1, 2")
+def matrix_bounds(spark, d):
+    return matrices.bounds(_matrix(spark, d), ["lang"])
+
+
+@query(f"WITH {MATRIX_SQL} SELECT lang, min(n) AS length FROM (SELECT lang, base, count(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1")
+def matrix_length(spark, d):
+    return matrices.length(_matrix(spark, d), ["lang"])
+
+
+@query(f"""WITH {MATRIX_SQL}
+SELECT lang, CAST(pos AS BIGINT) AS line, string_agg(printf('%.4f', freq), chr(9) ORDER BY base) AS value FROM m WHERE base IN ('a', 'e', 'n') GROUP BY 1, 2
+UNION ALL SELECT lang, -2, '>' || lang || chr(9) || 'start=0' FROM z WHERE shortest > 0 UNION ALL SELECT lang, -1, 'a' || chr(9) || 'e' || chr(9) || 'n' FROM z WHERE shortest > 0""")
+def matrix_lines(spark, d):
+    return matrices.to_lines(_matrix(spark, d), ["lang"], ("a", "e", "n"), 4).select("lang", F.col("line").cast("bigint").alias("line"), "value")
+
+
+@query("""SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY layer DESC) AS r FROM (
+  SELECT n_nationkey AS k, n_name AS v, 0 AS layer FROM nation UNION ALL SELECT r_regionkey, 'R-' || r_name, 1 FROM region UNION ALL SELECT n_nationkey + 20, 'N2', 2 FROM nation WHERE n_nationkey < 10)) WHERE r = 1""")
+def overlay_upsert(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    a = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
+    b = r.select(F.col("r_regionkey").alias("k"), F.concat(F.lit("R-"), "r_name").alias("v"))
+    c = n.where("n_nationkey < 10").select((F.col("n_nationkey") + 20).alias("k"), F.lit("N2").alias("v"))
+    return relational.upsert(a, b, c, keys=["k"])
+
+
+@query("SELECT c_name AS name, 'customer' AS kind FROM customer UNION ALL SELECT s_name, 'supplier' FROM supplier")
+def union_all_sets(spark, d):
+    return table(spark, d, "customer").select(F.col("c_name").alias("name"), F.lit("customer").alias("kind")).unionByName(table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit("supplier").alias("kind")))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def semi_prune(spark, d):
+    big = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").join(big, "o_orderkey", "left_semi")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_missing(spark, d):
+    return table(spark, d, "customer").select("c_custkey", "c_name").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("""SELECT event_id, round(score, 6) AS score, score > 0 AS positive, round(100 / (1 + exp(-score)) - 90, 6) AS relative FROM (SELECT event_id, -1.5 + value * 0.02 + user_id % 10 * 0.1 AS score FROM events)""")
+def linear_score(spark, d):
+    e = table(spark, d, "events").withColumns({"u": (F.col("user_id") % 10).cast("double")})
+    e = e.select("event_id", relational.linear_score(["value", "u"], [0.02, 0.1], -1.5).alias("s"))
+    return e.select("event_id", F.round("s", 6).alias("score"), (F.col("s") > 0).alias("positive"), F.round(100 / (1 + F.exp(-F.col("s"))) - 90, 6).alias("relative"))
+
+
+@query("""SELECT event_id, round((p1 * 0.9 + p2 * 0.8 + p3 * 0.7) / 3, 6) AS vote, CAST((p1 > 0.5)::INT + (p2 > 0.5)::INT + (p3 > 0.5)::INT AS DOUBLE) / 3 AS label_ratio
+FROM (SELECT event_id, 1 / (1 + exp(-value / 50)) AS p1, 1 / (1 + exp(-(value - 20) / 30)) AS p2, 1 / (1 + exp(-(value - 40) / 20)) AS p3 FROM events)""")
+def ensemble_avg(spark, d):
+    p = [1 / (1 + F.exp(-(F.col("value") - a) / b)) for a, b in ((0, 50), (20, 30), (40, 20))]
+    ratio = sum(((x > 0.5).cast("int") for x in p[1:]), (p[0] > 0.5).cast("int")).cast("double") / 3
+    return table(spark, d, "events").select("event_id", F.round(relational.weighted_votes(p, [0.9, 0.8, 0.7]), 6).alias("vote"), ratio.alias("label_ratio"))
+
+
+@query("""SELECT *, 2.0 * tp / (2.0 * tp + fp + fn) AS f1 FROM (SELECT count(*) FILTER (t AND g) AS tp, count(*) FILTER (NOT t AND g) AS fp, count(*) FILTER (t AND NOT g) AS fn, count(*) FILTER (NOT t AND NOT g) AS tn
+FROM (SELECT quality = 1 AS t, length(text) > 500 AS g FROM documents JOIN labels USING (doc_id)))""")
+def confusion_f1(spark, d):
+    both = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels"), "doc_id")
+    return relational.confusion(both, F.col("quality") == 1, F.length("text") > 500)
+
+
+@query("""SELECT s AS score, round(sum(p) OVER w / sum(n) OVER w, 9) AS precision, round(sum(p) OVER w / sum(p) OVER (), 9) AS recall
+FROM (SELECT length(text) // 500 AS s, sum(quality) AS p, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1) WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)""")
+def pr_curve(spark, d):
+    both = table(spark, d, "documents").select("doc_id", F.floor(F.length("text") / 500).cast("bigint").alias("score")).join(table(spark, d, "labels"), "doc_id")
+    out = relational.precision_recall(both.withColumns({"good": F.col("quality") == 1}), "good", "score")
+    return out.select("score", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query("SELECT CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 21 ELSE floor(value * 20 / 100) + 1 END AS BIGINT) AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
+def histogram_bins(spark, d):
+    return relational.histogram(table(spark, d, "events"), "value", 0.0, 100.0, 20)
+
+
+@query("SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS x_bin, CAST(floor(l_extendedprice / 5000) AS BIGINT) AS y_bin, count(*) AS n, round(log10(count(*)), 6) AS log_n FROM lineitem GROUP BY 1, 2")
+def hex_bins(spark, d):
+    return relational.grid_bins(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 5, 5000)
+
+
+@query("""SELECT event_id, 'HomSap-' || event_type || '@' || CAST(user_id AS VARCHAR) || '-intron_' || CAST(event_id AS VARCHAR) || '(5)' || CASE WHEN value < 20 THEN ';[o:s]' ELSE '' END || CASE WHEN user_id % 2 = 0 THEN ';[e][n]' ELSE '' END AS name FROM events""")
+def intron_names(spark, d):
+    tags = F.when(F.col("user_id") % 2 == 0, F.array(F.lit("[n]"), F.lit("[e]"))).otherwise(F.array().cast("array<string>"))
+    name = report.intron_name(report.abbreviate("homo_sapiens"), F.col("event_type"), F.col("user_id"), F.col("event_id"), F.lit(5), F.when(F.col("value") < 20, F.lit("s")), tags)
+    return table(spark, d, "events").select("event_id", name.alias("name"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_name || ';?' ELSE c_name || ';' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) || '.0%' END AS label FROM customer")
+def label_format(spark, d):
+    whole = F.floor("c_acctbal").cast("double")
+    text = report.label(F.col("c_name"), F.when(F.col("c_acctbal") >= 0, whole))
+    return table(spark, d, "customer").select("c_custkey", F.regexp_replace(text, r"(\d)\.?(\d*)E(\d+)%", "$1$2%").alias("label")).withColumns({"label": F.col("label")})
+
+
+@query("SELECT concat_ws(chr(9), CAST(s_suppkey AS VARCHAR), s_name, coalesce(CAST(CASE WHEN s_acctbal > 0 THEN s_nationkey END AS VARCHAR), '.')) AS line FROM supplier")
+def tagged_report(spark, d):
+    return table(spark, d, "supplier").select(report.tsv("s_suppkey", "s_name", F.when(F.col("s_acctbal") > 0, F.col("s_nationkey"))).alias("line"))
+
+
+@query(f"WITH s AS ({SPANS}) SELECT event_id, user_id AS region, least(a, z - 7200) + 1 AS start, greatest(a, z - 7200) AS stop, CASE event_type WHEN 'error' THEN '-' ELSE '+' END AS strand FROM s WHERE event_type IN ('error', 'click')")
+def bed_convert(spark, d):
+    from helixframe.sources.bed import closed
+
+    spans = _spans(spark, d, "error").withColumns({"strand": F.lit("-")}).unionByName(_spans(spark, d, "click").withColumns({"strand": F.lit("+")}))
+    start, stop = closed(F.col("a"), F.col("z") - 7200)
+    return spans.select("event_id", F.col("user_id").alias("region"), start.alias("start"), stop.alias("stop"), "strand")
+
+
+@query("SELECT doc_id, text[-5:-2] AS tail, substr(text, 4, 6) AS head, text[-3:] AS last FROM documents WHERE length(text) >= 10")
+def py_slices(spark, d):
+    t = F.col("text")
+    docs = table(spark, d, "documents").where(F.length(t) >= 10)
+    return docs.select("doc_id", dna.py_slice(t, -5, -1).alias("tail"), dna.py_slice(t, 3, 9).alias("head"), dna.py_slice(t, -3, None).alias("last"))
+
+
+@query(f"""WITH s AS ({SPANS}) SELECT event_id, CASE WHEN event_type = 'error' THEN a + 5 ELSE z - 54 END AS bp_start, CASE WHEN event_type = 'error' THEN a + 54 ELSE z - 5 END AS bp_stop FROM s WHERE event_type IN ('error', 'click')""")
+def relative_coords(spark, d):
+    spans = _spans(spark, d, "error").withColumns({"strand": F.lit("-")}).unionByName(_spans(spark, d, "click").withColumns({"strand": F.lit("+")}))
+    lo, hi = dna.relative_coords(F.col("a"), F.col("z"), F.col("strand"), "three", -54, -5)
+    return spans.select("event_id", lo.alias("bp_start"), hi.alias("bp_stop"))
+
+
+# Extensions: plain SQL that the reference has no counterpart for.
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def ext_cube(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 hour, ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def ext_tumbling_window(spark, d):
+    w = table(spark, d, "events").groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return w.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "total")
+
+
+@query("SELECT o_custkey, o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS dr, CAST(ntile(4) OVER w AS BIGINT) AS quarter FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)")
+def ext_ranks(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.rank().over(w).cast("bigint").alias("r"), F.dense_rank().over(w).cast("bigint").alias("dr"), F.ntile(4).over(w).cast("bigint").alias("quarter"))
+
+
+@query("SELECT c_nationkey AS k, 'both' AS side FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier UNION ALL (SELECT c_nationkey, 'customer' FROM customer EXCEPT SELECT s_nationkey, 'customer' FROM supplier)")
+def ext_set_operations(spark, d):
+    c, s = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    return c.intersect(s).withColumns({"side": F.lit("both")}).unionByName(c.subtract(s).withColumns({"side": F.lit("customer")}))
