@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -31,12 +32,22 @@ def checkpoint_root(spark: SparkSession) -> str:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives the loss of any executor.
 
-    The tables of one application lie in one folder and can be removed once it has ended.
+    The tables of one application lie in one folder and can be removed once it has ended. Shuffle files of the steps
+    that led here are let go of at once, not at the driver's next garbage collection, so disk holds one step's.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/helixframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def merged(small: DataFrame) -> DataFrame:
+    """One side of a join that is never broadcast, at any size: it grows with the data."""
+    return small.hint("merge")
 
 
 def text_or_empty(column: str = "text") -> Column:

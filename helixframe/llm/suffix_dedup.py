@@ -33,17 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import suffix_sort
-from helixframe.llm.common import by_bytes, settle
+from helixframe.llm.common import by_bytes, merged, settle
 from helixframe.llm.shingles import _coefficients, _mix
 
 LENGTH, GRAM = 200, 32
 HOT = 2048
-SHARD_BYTES = 12 << 20
-PIECE = 1 << 20
+SHARD_BYTES = 3 << 20
+PIECE = 1 << 18
 
 _OF_BYTE = _coefficients(256, 11)
 _FACTORS = _coefficients(16, 12)
-STRETCH = "h long, d long, doc_id long, tag int, start long, windows int"
+STRETCH = "h long not null, d long not null, doc_id long, tag int not null, start long not null, windows int not null"
+PACKED = "doc_id long, tag int not null, packed binary not null"
 
 
 def gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
@@ -112,7 +113,7 @@ def _cut(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in by_bytes(batches, 2 << 20):
+        for batch in by_bytes(batches, 1 << 20):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             tags = np.array([_tag(t) for t in texts], np.int32)
@@ -138,6 +139,12 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_tag(t) for t in texts], pa.int32()), pa.array([z.compress(t) for t in texts], pa.binary())], ["doc_id", "tag", "packed"])
 
 
+def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """A batch's rows, a few at a time as Python objects."""
+    for a in range(0, batch.num_rows, 128):
+        yield from zip(*(batch.column(c).slice(a, 128).to_pylist() for c in columns), strict=True)
+
+
 def _extract(length: int):
     """Bytes of the wanted stretches; of those under a hot minimizer a digest for each window instead."""
 
@@ -149,7 +156,7 @@ def _extract(length: int):
         names = ["h", "content", "w1", "w2", "doc_id", "tag", "start", "windows"]
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, tag, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "packed", "wanted")), strict=True):
+            for doc_id, tag, packed, wanted in _rows(batch, "doc_id", "tag", "packed", "wanted"):
                 text = z.decompress(packed)
                 for w in wanted:
                     s, n = w["start"], w["windows"]
@@ -159,7 +166,7 @@ def _extract(length: int):
                             rows.append((w["h"], None, (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63), doc_id, tag, i, 1))
                     else:
                         rows.append((w["h"], text[s : s + n + length - 1], None, None, doc_id, tag, s, n))
-                if len(rows) > 20_000:
+                if len(rows) > 4_000:
                     yield _batch(rows, names)
                     rows = []
             yield _batch(rows, names)
@@ -219,7 +226,7 @@ def _remove(keep_bytes: bool):
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, packed, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "spans")), strict=True):
+            for doc_id, packed, spans in _rows(batch, "doc_id", "packed", "spans"):
                 text = z.decompress(packed)
                 runs: list[list[int]] = []
                 for s, e in sorted((s["start"], s["stop"]) for s in spans or ()):
@@ -240,39 +247,42 @@ def _remove(keep_bytes: bool):
     return run
 
 
-def repeated_spans(read: DataFrame, length: int = LENGTH, gram: int = GRAM, memory: int = suffix_sort.MEMORY) -> DataFrame:
-    """Spans (doc_id, tag, start, stop) whose union is what to remove from read (doc_id, text). They may overlap."""
+def repeated_spans(read: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, memory: int = suffix_sort.MEMORY) -> DataFrame:
+    """Spans (doc_id, tag, start, stop) whose union is what to remove from read (doc_id, text). They may overlap.
+
+    packed: PACKED, made from read; the caller joins it too, and Spark writes its shuffle once for both.
+    """
     cut = read.mapInArrow(_cut(length, gram), STRETCH)
     often = cut.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    candidates = settle(cut.join(often, "h"), "candidates")
+    candidates = settle(cut.join(merged(often), "h"), "candidates")
     distinct = settle(candidates.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "start", "windows")).alias("one")), "distinct")
-    copies = candidates.join(distinct.where("n > 1").select("h", "d"), ["h", "d"], "left_semi")
+    copies = candidates.join(merged(distinct.where("n > 1").select("h", "d")), ["h", "d"], "left_semi")
     whole = copies.select("doc_id", "tag", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop"))
 
     several = distinct.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = distinct.join(several, "h").select("one.doc_id", "one.tag", F.struct("h", "one.start", "one.windows", (F.col("kinds") > HOT).alias("hot")).alias("w"))
-    wanted = wanted.groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("id_tag")).agg(F.collect_list("w").alias("wanted"))
-    packed = read.mapInArrow(_shrink, "doc_id long, tag int, packed binary")
+    wanted = settle(distinct.join(merged(several), "h").select("one.doc_id", "one.tag", "h", "one.start", "one.windows", (F.col("kinds") > HOT).alias("hot")), "wanted")
+    size, any_hot = wanted.agg(F.sum(F.when(~F.col("hot"), F.col("windows") + length)), F.max("hot")).first()
+    of_doc = wanted.groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("id_tag")).agg(F.collect_list(F.struct("h", "start", "windows", "hot")).alias("wanted"))
     # rows equal in doc_id and text hold the same stretches: one of them is enough here
-    found = packed.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("id_tag"))).dropDuplicates(["doc_id", "tag"])
-    stretch = settle(found.select("doc_id", "tag", "packed", "wanted").mapInArrow(_extract(length), "h long, content binary, w1 long, w2 long, doc_id long, tag int, start long, windows int"), "stretches")
+    found = packed.join(merged(of_doc), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("id_tag"))).dropDuplicates(["doc_id", "tag"])
+    stretch = found.select("doc_id", "tag", "packed", "wanted").mapInArrow(_extract(length), "h long, content binary, w1 long, w2 long, doc_id long, tag int, start long, windows int")
 
-    size = stretch.agg(F.sum(F.length("content"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
+    shards = max(1, -(-(size or 0) // SHARD_BYTES))
     sorted_ = stretch.where("content is not null").select("h", "content", "doc_id", "tag", "start").repartition(shards, "h")
-    alike = sorted_.mapInArrow(_sort_shard(length, memory), "doc_id long, tag int, start long, stop long")
-    hot = stretch.where("w1 is not null")
-    twice = hot.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
-    one_by_one = hot.join(twice, ["w1", "w2"], "left_semi").select("doc_id", "tag", "start", (F.col("start") + length).alias("stop"))
-    return whole.union(alike).union(one_by_one)
+    spans = whole.union(sorted_.mapInArrow(_sort_shard(length, memory), "doc_id long, tag int, start long, stop long"))
+    if any_hot:
+        hot = settle(stretch.where("w1 is not null").select("w1", "w2", "doc_id", "tag", "start"), "hot")
+        twice = hot.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
+        spans = spans.union(hot.join(merged(twice), ["w1", "w2"], "left_semi").select("doc_id", "tag", "start", (F.col("start") + length).alias("stop")))
+    return spans
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memory: int = suffix_sort.MEMORY, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_bytes kept_bytes and the removed spans."""
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(read, length, gram, memory)
+    packed = read.mapInArrow(_shrink, PACKED)
+    spans = repeated_spans(read, packed, length, gram, memory)
     of_doc = spans.groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("id_tag")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    packed = read.mapInArrow(_shrink, "doc_id long, tag int, packed binary")
-    met = packed.join(of_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("id_tag")), "left")
+    met = packed.join(merged(of_doc), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("id_tag")), "left")
     out = met.select("doc_id", "packed", "spans").mapInArrow(_remove(keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary, spans array<struct<start:long,stop:long>>")
     return out if keep_bytes else out.drop("kept_bytes", "spans")
