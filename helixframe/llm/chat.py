@@ -35,11 +35,12 @@ def unescape(text: Column) -> Column:
 
 
 def _role_out(role: Column) -> Column:
-    return F.replace(escape(role), F.lit("\n"), F.lit("\\\\n"))
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
 
 
 def _role_in(role: Column) -> Column:
-    return unescape(F.replace(role, F.lit("\\\\n"), F.lit("\n")))
+    # a line break is \\n after an even number of backslashes, which are doubled ones
+    return unescape(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
 
 
 def log_of_messages(rows: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ class Schedule:
 
     def time_of(self, share: Column) -> Column:
         """The time by which `share` of the demand has come: the inverse of the schedule's integral."""
-        out = F.lit(None).cast("double")
-        for t, n, f, k, before in reversed(self.pieces()):
+        out = F.lit(0.0)
+        for t, n, f, k, before in self.pieces():
             y = F.greatest(share - before, F.lit(0.0))
             step = y / f if k == 0 else 2 * y / (f + F.sqrt(F.greatest(F.lit(f * f) + 2 * k * y, F.lit(0.0))))
             out = F.when(share >= before, F.lit(t) + F.least(step, F.lit(n))).otherwise(out)
