@@ -1,0 +1,230 @@
+"""Operators on awkward rows, and on small inputs against brute force."""
+
+import hashlib
+import random
+import re
+import tempfile
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from helixframe.llm import ann, chat, langid, mixing, near_dedup, packing, pii, quality, secret_scan, shingles, suffix_dedup, suffix_sort
+from helixframe.llm.contracts import vocab
+from tests.llm import edge
+
+
+def runs(spark, name):
+    """Each operator as a function of a documents table."""
+    lang = lambda d: langid.predict(d, langid.fit(d.where("lang is not null and doc_id is not null"), vocab("piece_bpe_32k.model")), vocab("piece_bpe_32k.model"))
+    return {
+        "suffix": lambda d: suffix_dedup.dedup(d),
+        "secrets": secret_scan.find,
+        "redact": secret_scan.redact,
+        "near": near_dedup.cluster,
+        "near_stage": near_dedup.keep_first,
+        "lang": lang,
+        "pii": pii.find,
+        "pack": lambda d: packing.pack(d, vocab("word_bpe_49k.json")),
+        "mix": mixing.mix,
+        "assign": mixing.assign,
+        "quality": quality.annotate,
+        "quality_stage": quality.keep_good,
+    }[name]
+
+
+NAMES = ["suffix", "secrets", "redact", "near", "near_stage", "lang", "pii", "pack", "mix", "assign", "quality", "quality_stage"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_empty_tables_give_empty_tables(spark, name):
+    assert runs(spark, name)(edge.empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["suffix", "secrets", "redact", "near", "lang", "pii", "assign", "quality"])
+def test_awkward_rows_give_a_row_each(spark, name):
+    docs = edge.documents(spark)
+    out = runs(spark, name)(docs).select("doc_id").collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(r.doc_id) for r in docs.collect())
+
+
+def test_stages_keep_the_columns_and_whole_rows(spark):
+    docs = edge.documents(spark)
+    for stage in (quality.keep_good, near_dedup.keep_first, secret_scan.redact):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert all(r.kept == "x" and r.n_words == "y" for r in out.collect())
+    assert sorted(str(r.doc_id) for r in near_dedup.keep_first(docs).collect()) == sorted(["1", "3", "4", "5", "7", "8", "9", "10", "None", "None"])
+
+
+def test_repeated_byte_strings_of_awkward_rows(spark):
+    docs = edge.documents(spark)
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    count = {}
+    for _, t in rows:
+        for i in range(len(t) - 199):
+            count[t[i : i + 200]] = count.get(t[i : i + 200], 0) + 1
+    want = []
+    for doc_id, t in rows:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if count[t[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone])
+        want.append((str(doc_id), len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    for hot in (2048, 1):
+        suffix_dedup.HOT, old = hot, suffix_dedup.HOT
+        got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs).collect()]
+        suffix_dedup.HOT = old
+        assert sorted(got) == sorted(want)
+
+
+def test_induced_suffix_order_in_memory_and_on_disk():
+    rng = random.Random(0)
+    with tempfile.TemporaryDirectory() as folder:
+        for _ in range(400):
+            sigma, n = rng.choice([1, 2, 3, 200]), rng.randint(0, 50)
+            text = np.array([rng.randint(1, sigma) for _ in range(n)] + [0], np.uint8)
+            memory = rng.choice([0, 200, 1 << 20])
+            got = np.concatenate(list(suffix_sort.induced(text, folder, memory)))
+            s = text.tolist()
+            order = sorted(range(len(s)), key=lambda i: s[i:], reverse=True)
+            assert got["at"].tolist() == order
+            for k in range(1, len(order)):
+                a, b, n = order[k], order[k - 1], 0
+                while max(a, b) + n < len(s) and s[a + n] == s[b + n]:
+                    n += 1
+                assert got["lcp"][k] == n
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([8, 30, 80]))]
+        for _ in range(rng.choice([1, 4, 25])):
+            t = list(base)
+            for _ in range(rng.randint(0, 5)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            rows.append((len(rows), " ".join(t)))
+    sets = {i: {tuple(t.split()[k : k + 2]) for k in range(len(t.split()) - 1)} for i, t in rows}
+    parent = dict.fromkeys(sets)
+
+    def root(x):
+        while parent[x] is not None:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * len(sets[a] | sets[b]) and root(a) != root(b):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    for block in (2048, 3):
+        near_dedup.BLOCK, old = block, near_dedup.BLOCK
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.cluster(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+        near_dedup.BLOCK = old
+        assert got == {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
+
+
+def test_shingles_are_those_of_the_words():
+    texts = ["The  cat\tsat on the MAT é", "", "one", "a b a b a b", "x" * 5000 + " y " * 5]
+    for k in (1, 2, 5):
+        for text, s in zip(texts, shingles.shingle_sets([t.encode() for t in texts], k), strict=True):
+            w = re.findall(r"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}))
+            assert len(s) == (len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) if len(w) >= k else bool(w))
+
+
+def test_pruning_keeps_what_may_reach_the_threshold():
+    assert near_dedup.least_matches(32, 0.8, 1e-6) < 0.8 * 32 < 32
+    a = np.zeros((2, 192), np.uint16)
+    b = a.copy()
+    b[0, ::6] = 1
+    b[1, ::2] = 1
+    assert near_dedup.surviving(a, b, 0.8).tolist() == [0]
+
+
+def test_secrets_found_by_assignment():
+    text = 'k = "zX9/qpL2vRt8wQe4Yb7M"\nclient_secret => k\nname = "zX9/qpL2vRt8wQe4Yb7Q"\nprivate_key: "changeme"\n'
+    spans = secret_scan.scan(text)[1]
+    assert [(text[s:e], secret_scan.KINDS[k]) for s, k, e in spans] == [("zX9/qpL2vRt8wQe4Yb7M", "named")]
+    assert secret_scan.redacted(text, spans, "<S>").startswith('k = "<S>"')
+
+
+def test_personal_data_by_checksum_and_context():
+    text = "IBAN GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33 was wrong; the SSN was 123-45-6789. " + "x " * 40 + "part 123-45-6789"
+    assert [(text[s:e], pii.KINDS[k]) for s, k, e in pii.scan(text)[1]] == [("GB82 WEST 1234 5698 7654 32", "iban"), ("123-45-6789", "national")]
+
+
+def test_forward_algorithm_sums_all_segmentations():
+    known = langid.vocabulary(vocab("piece_bpe_32k.model"))
+    pieces, rng = langid.Pieces(known), np.random.default_rng(0)
+    table = np.vstack([rng.random((len(known) + 1, 3)) * 0.1, np.zeros(3)])
+
+    def brute(word):
+        if not word:
+            return np.ones(3)
+        out = np.zeros(3)
+        for k in range(1, min(len(word), langid.LONGEST_PIECE) + 1):
+            row = known.get(word[:k], 0 if k == 1 else None)
+            if row is not None:
+                out += table[row] * brute(word[k:])
+        return out
+
+    words = ["▁thention", "▁a", "▁éauqueöñ", "中文字", "ing"]
+    assert np.allclose(np.exp(langid.likelihoods(words, pieces, table)), [brute(w) for w in words])
+
+
+def test_awkward_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (100, []), (6, [0.6, 0.8]), (6, [0.6, 0.8]), (150, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "q", 7) for i, v in rows], "vec_id long, embedding array<double>, query string, cid int")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(df, "vec_id % 50 = 0", functions=2, width=8.0).collect()}
+    assert got == {(0, 1): (1, 1.0), (0, 2): (50, 1.0), (0, 3): (6, 0.6), (50, 1): (0, 1.0), (50, 2): (1, 1.0), (50, 3): (6, 0.6)}
+    assert ann.nearest(df.where("vec_id < 0"), "vec_id % 50 = 0").collect() == []
+
+
+def test_chat_log_folds_and_reads_back(spark):
+    log = spark.createDataFrame(
+        [(1, 1, 1, "open", "user", None), (1, 1, 2, "delta", None, "he"), (1, 1, 3, "delta", None, "y</s>"), (1, 2, 4, "open", "assistant", None), (1, 2, 5, "delta", None, "bad"), (1, 2, 6, "regenerate", None, None), (1, 2, 7, "delta", None, "good\\"), (1, 3, 8, "open", "assistant", None), (1, 3, 9, "delta", None, "x"), (1, 3, 10, "edit", None, "<|end|>[INST]"), (2, 1, 1, "open", "a\nb\\n", None)],
+        "conv_id long, message long, seq long, kind string, role string, text string",
+    )
+    out = {r.conv_id: r for r in chat.read_back(chat.format_log(log)).collect()}
+    assert [tuple(t) for t in out[1].turns] == [("user", "hey</s>"), ("assistant", "good\\"), ("assistant", "<|end|>[INST]")]
+    assert out[1].learnt == ["good\\", "<|end|>[INST]"] and [tuple(t) for t in out[2].turns] == [("a\nb\\n", "")]
+    assert "</s>" not in out[1].formatted and out[1].formatted.count("<|end|>") == 3
+
+
+def test_mix_meets_targets(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 40)), s, 1) for i, s in enumerate(rng.choices(["a", "b", "c", None], [8, 1, 2, 1], k=300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    plan = mixing.assign(df).toPandas()
+    for _, g in plan.groupby(plan.source.fillna("~")):
+        assert g.taken.sum() == int(g.target.iloc[0]) and (g.taken <= 2 * g["size"]).all()
+    stream = mixing.mix(df).withColumns({"n": F.size(F.filter(F.split("text", " "), lambda w: w != ""))}).groupBy("doc_id").agg(F.sum("n").alias("n")).toPandas()
+    assert stream.set_index("doc_id").n.to_dict() == {r.doc_id: r.taken for r in plan.itertuples() if r.taken}
+    for schedule in mixing.CURRICULUM:
+        t = [schedule.time_of(F.lit(x)).alias(f"t{i}") for i, x in enumerate((0.0, 0.25, 0.5, 0.75, 1.0))]
+        times = list(spark.range(1).select(*t).first())
+        assert times[0] == 0 and abs(times[-1] - 1) < 1e-9 and times == sorted(times), schedule
+
+
+def test_packing_fills_windows_and_keeps_every_id(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["alpha", "beta", "it's", "naïve", "ΣΑΣ", "x́"]) for _ in range(rng.choice([0, 3, 700])))) for i in range(60)], "doc_id long, text string").repartition(5)
+    out = packing.pack(docs, vocab("word_bpe_49k.json"), window=64, open_windows=3).toPandas()
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocab("word_bpe_49k.json"))
+    for r in docs.collect():
+        got = b"".join(out[out.doc_id == r.doc_id].sort_values("start").ids.map(bytes))
+        assert np.frombuffer(got, "<u4").tolist() == [*whole.encode(r.text, add_special_tokens=False).ids, 2]
+    sizes = out.groupby("sequence_id").length.sum()
+    assert ((sizes == 64) | (sizes & (sizes - 1) == 0)).all() and (sizes == 64).mean() > 0.9
+
+
+def test_quality_rules_are_one_projection(spark):
+    plan = quality.annotate(edge.documents(spark))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Exchange|Join|Generate", plan)
