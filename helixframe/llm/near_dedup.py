@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import by_bytes, settle
+from helixframe.llm.common import by_bytes, merged, settle
 from helixframe.llm.components import components
 from helixframe.llm.shingles import MinHash, _coefficients, _mix, shingle_sets
 
@@ -88,7 +88,7 @@ def _bands(bands: int, rows: int):
             if batch.num_rows:
                 s = _signatures(batch, "sign").reshape(-1, bands, rows).astype(np.uint64) + np.uint64(1)
                 keys = _mix((s * factors).sum(2) + factors[:, 0]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), bands))], ["bucket", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(keys))), pa.array(np.repeat(batch.column("node").to_numpy(), bands))], ["bucket", "band", "node"])
 
     return run
 
@@ -103,45 +103,103 @@ def _prune(threshold: float, miss: float):
     return run
 
 
-def _between(threshold: float, miss: float):
-    """Surviving pairs of a bucket's cell: rows of its two blocks with different labels. Rows come sorted by cell."""
+class _Cell:
+    """Rows of two blocks of a bucket (or of one with itself), each with a component label and a signature."""
+
+    def __init__(self, rows: list[tuple], band: int, bands: int, threshold: float, miss: float):
+        self.rows, self.band, self.bands, self.threshold, self.miss = rows, band, bands, threshold, miss
+        self.node, self.label, self.block = (np.array([r[i] for r in rows]) for i in range(3))
+        self.sign = np.frombuffer(b"".join([r[3] for r in rows]), np.uint16).reshape(len(rows), -1)
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """A row, and rows of other components that no batch prunes against it, most alike first. Each pair once; pairs
+        that share an earlier band are left to that one."""
+        labels, counts = np.unique(self.label, return_counts=True)
+        main, two = labels[counts.argmax()], self.block.min() != self.block.max()
+        banded = self.sign.reshape(len(self.rows), self.bands, -1)
+        for i in np.flatnonzero(self.label != main).tolist():
+            other = self.label != self.label[i]
+            if two:
+                other &= self.block != self.block[i]
+            # a pair of two lesser labels is met from both sides, one with the main label from its lesser side only
+            other = np.flatnonzero(other & ((self.label == main) | (self.node > self.node[i])))
+            other = other[surviving(np.broadcast_to(self.sign[i], (len(other), self.sign.shape[1])), self.sign[other], self.threshold, self.miss)]
+            if len(other):
+                other = other[(banded[other] == banded[i]).all(2).argmax(1) == self.band]
+            if len(other):
+                yield i, other[np.argsort(-(self.sign[other] == self.sign[i]).sum(1), kind="stable")]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], make) -> Iterator[tuple[list, _Cell]]:
+    """Cells of batches that come sorted by (bucket, i, j)."""
+    rows: list[tuple] = []
+    now = None
+    for batch in batches:
+        for *cell, band, row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "band")), zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+            if now is None or now[0] != cell:
+                if len(rows) > 1:
+                    yield now[0], make(rows, now[1])
+                rows, now = [], (cell, band)
+            rows.append(row)
+    if len(rows) > 1:
+        yield now[0], make(rows, now[1])
+
+
+def _involved(bands: int, threshold: float, miss: float):
+    """Rows of cells that have a surviving partner in another component there: at most the rows that came in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        now = None
-
-        def pairs() -> pa.RecordBatch:
-            node, label, block = (np.array([r[i] for r in rows]) for i in range(3))
-            sign = np.frombuffer(b"".join([r[3] for r in rows]), np.uint16).reshape(len(rows), -1)
-            labels, counts = np.unique(label, return_counts=True)
-            main = labels[counts.argmax()]
-            two = block.min() != block.max()
-            a, b = [], []
-            for i in range(len(rows)):
-                other = label != label[i]
-                if two:
-                    other &= block != block[i]
-                # a pair of two lesser labels is met twice, one with the main label from its lesser side
-                if label[i] == main or not (other := np.flatnonzero(other & ((label == main) | (node > node[i])))).size:
-                    continue
-                found = other[surviving(np.broadcast_to(sign[i], (len(other), sign.shape[1])), sign[other], threshold, miss)]
-                a += [int(node[i])] * len(found)
-                b += node[found].tolist()
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64))], ["a", "b"])
+        for (bucket, i, j), cell in _cells(batches, ("node", "label", "block", "sign"), lambda rows, band: _Cell(rows, band, bands, threshold, miss)):
+            hit = sorted({k for a, others in cell.pairs() for k in (a, *others.tolist())})
+            if hit:
+                own = [cell.rows[k] for k in hit]
+                n = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), pa.array([cell.band] * n, pa.int32()), *(pa.array([r[c] for r in own], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary())))], ["bucket", "i", "j", "band", "node", "label", "block", "sign"])
 
-        for batch in batches:
-            for *cell, node, label, block, sign in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "label", "block", "sign")), strict=True):
-                if now != cell:
-                    if len(rows) > 1:
-                        yield pairs()
-                    rows, now = [], cell
-                rows.append((node, label, block, sign))
-        if len(rows) > 1:
-            yield pairs()
+    return run
+
+
+def _links_between(words: int, percent: int, bands: int, threshold: float, miss: float):
+    """Exactly verified links between components. A row is compared with a component until one link to it is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        for _, cell in _cells(batches, ("node", "label", "block", "sign", "packed"), lambda rows, band: _Cell(rows, band, bands, threshold, miss)):
+            sets: dict[int, np.ndarray] = {}
+            joined: dict[int, int] = {}
+            found = []
+
+            def root(x: int, joined: dict[int, int] = joined) -> int:
+                while x in joined:
+                    x = joined[x]
+                return x
+
+            def set_of(k: int, sets: dict[int, np.ndarray] = sets, cell: _Cell = cell) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingle_sets([z.decompress(cell.rows[k][4])], words)[0]
+                return sets[k]
+
+            for i, others in cell.pairs():
+                for k in others.tolist():
+                    a, b = root(cell.label[i].item()), root(cell.label[k].item())
+                    if a != b and alike(set_of(i), set_of(k), percent):
+                        joined[max(a, b)] = min(a, b)
+                        found.append((cell.rows[i][0], cell.rows[k][0]))
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
     return run
 
 
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether the sets' Jaccard similarity reaches percent, exactly."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the shuffle."""
     import zstandard
@@ -165,8 +223,7 @@ def _verify(words: int, percent: int):
                 if a != last:
                     last, own = a, shingle_sets([z.decompress(x)], words)[0]
                 other = shingle_sets([z.decompress(y)], words)[0]
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * both >= percent * (len(own) + len(other) - both):
+                if alike(own, other, percent):
                     keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -182,39 +239,45 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands:
     classes = settle(first.select("digest", F.col("first.doc_id").alias("node"), F.col("first.sign").alias("sign")), "classes")
     signs = classes.select("node", "sign")
 
-    in_band = signs.mapInArrow(_bands(bands, rows), "bucket long, node long")
+    in_band = signs.mapInArrow(_bands(bands, rows), "bucket long, band int, node long")
     buckets = in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
-    members = settle(in_band.join(buckets, "bucket"), "members")
+    members = settle(in_band.join(merged(buckets), "bucket"), "members")
 
     texts = read.mapInArrow(_shrink, "node long, packed binary")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = settle(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        held = settle(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
-        with_a = pairs.join(held.select(F.col("node").alias("a"), F.col("packed").alias("text_a")), "a")
-        with_b = with_a.join(held.select(F.col("node").alias("b"), F.col("packed").alias("text_b")), "b")
-        return with_b.sortWithinPartitions("a").mapInArrow(_verify(words, percent), "a long, b long")
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """One text for each node that is asked for."""
+        return settle(texts.join(merged(wanted.distinct()), "node", "left_semi").dropDuplicates(["node"]), "texts")
+
+    def sign_as(name: str) -> DataFrame:
+        return merged(signs.select(F.col("node").alias(name), F.col("sign").alias(f"sign_{name}")))
 
     stars = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    signed_a = stars.join(signs.select(F.col("node").alias("a"), F.col("sign").alias("sign_a")), "a")
-    both = signed_a.join(signs.select(F.col("node").alias("b"), F.col("sign").alias("sign_b")), "b")
-    links = settle(verified(both.mapInArrow(_prune(threshold, miss), "a long, b long")), "links")
+    pruned = stars.join(sign_as("a"), "a").join(sign_as("b"), "b").mapInArrow(_prune(threshold, miss), "a long, b long")
+    pairs = settle(pruned, "pairs")
+    held = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
+    text_as = lambda x: merged(held.select(F.col("node").alias(x), F.col("packed").alias(f"text_{x}")))
+    both = pairs.join(text_as("a"), "a").join(text_as("b"), "b").sortWithinPartitions("a")
+    links = settle(both.mapInArrow(_verify(words, percent), "a long, b long"), "links")
     labels = settle(components(links), "labels")
 
-    of_three = members.where("n > 2").join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("label"))
+    of_three = members.where("n > 2").join(merged(labels), "node", "left").select("bucket", "band", "node", "n", F.coalesce("component", "node").alias("label"))
     mixed = of_three.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket")
-    open_ = of_three.join(mixed, "bucket", "left_semi").join(signs, "node")
+    open_ = of_three.join(merged(mixed), "bucket", "left_semi").join(merged(signs), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     open_ = open_.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
     cells = open_.withColumns({"other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))}).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    met = cells.select("bucket", "i", "j", "node", "label", "block", "sign").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = settle(met.mapInArrow(_between(threshold, miss), "a long, b long").distinct(), "more")
-    if not more.isEmpty():
-        stars_now = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = components(stars_now.union(verified(more)))
-    of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    columns = ["bucket", "i", "j", "band", "node", "label", "block", "sign"]
+    met = cells.select(*columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    met = settle(met.mapInArrow(_involved(bands, threshold, miss), "bucket long, i int, j int, band int, node long, label long, block int, sign binary"), "open")
+    if not met.isEmpty():
+        told = met.join(merged(texts_of(met.select("node"))), "node").select(*columns, "packed").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        more = settle(told.mapInArrow(_links_between(words, percent, bands, threshold, miss), "a long, b long").distinct(), "more")
+        if not more.isEmpty():
+            stars_now = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = components(stars_now.union(more))
+    of_class = classes.select("digest", "node").join(merged(labels), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    out = signed.select("doc_id", "n_shingles", "digest").join(merged(of_class), "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
