@@ -182,3 +182,30 @@ def test_annotation_is_corrected(spark):
     moved = spark.createDataFrame([(-2, "+", (1,), (2,))], "shift int, strand string, upstream_exon struct<line_number:int>, downstream_exon struct<line_number:int>")
     out = {r.line_number: r.value for r in sequences.fixed_annotation(rows, sequences.annotation_fixes(moved)).collect()}
     assert out == {1: "c\tx\tCDS\t1\t98\t.\t+\t0\tP=1;shift:stop:-2", 2: "c\tx\tCDS\t199\t300\t.\t+\t0\tP=1;shift:start:-2", 3: "other"}
+
+
+def test_second_round_demotion_and_learnt_matrices(spark, tmp_path):
+    from helixframe.operators import training
+
+    (tmp_path / "m").write_text(fixtures.matrix_lines())
+    for name, kind, n, seed in (("r12", "u12", 40, 1), ("r2", "u2", 120, 2), ("q12", "u12", 30, 3), ("q2", "u2", 150, 4)):
+        (tmp_path / name).write_text(fixtures.training(kind, n, seed))
+    config = Config(sequences="q", hyper_c=1.0, threshold=50)
+    pwms = pipeline.load_matrices(spark, str(tmp_path / "m"), config).persist()
+    take = lambda name, label, at: pipeline.from_sequences(spark, str(tmp_path / name), config, label).withColumns({"intron_id": F.col("intron_id") + at})
+    ref = take("r12", "u12", 1000).unionByName(take("r2", "u2", 2000)).persist()
+    query = take("q12", None, 0).unionByName(take("q2", None, 500)).persist()
+    scored = pipeline.classify(spark, query, ref, pwms, config).persist()
+    learnt = training.empirical(scored.join(query.select("intron_id", "five_seq", "dnts", "five_display"), "intron_id"), config).toPandas()
+    assert {("u2", "gtag", "five"), ("u2", "gtag", "bp")} <= set(map(tuple, learnt[["subtype", "dnts", "region"]].values))
+    assert np.allclose(learnt.groupby(["subtype", "dnts", "region", "pos"]).freq.sum(), 1)
+    bp = training.branch_points(query, pwms, config, min_count=10).toPandas()
+    assert len(bp) >= 48 and np.allclose(bp.groupby("pos").freq.sum(), 1) and training.branch_points(query, pwms, config, min_count=10_000) is None
+    again = training.recursive(spark, query, scored, ref, pwms, config).toPandas().set_index("intron_id")
+    assert np.mean([(again.type_id[i] == "u12") == (i < 500) for i in again.index]) > 0.9
+    mutant = training.mutate(training.swap_candidates(query.withColumns({"noncanonical": F.lit(True)})), config)
+    assert {(r.five_seq[3:5], r.three_seq[4:6]) for r in mutant.collect()} == {("GT", "AG")}
+    down = training.demote(scored, scored.withColumns({"svm_score": F.lit(1.0)}), 50)
+    assert down.where("demoted").count() == scored.where("svm_score > 50").count() == down.where("demoted_tag = '[d]' and svm_score = 1").count()
+    marks = spark.range(1).select(training.position_marks(F.lit("AC"), F.create_map(F.lit("0|A"), F.lit(0.5), F.lit("1|C"), F.lit(0.2)), F.array(F.lit(0.5), F.lit(0.7)), F.array(F.lit(0.1), F.lit(0.1)), 0).alias("m")).first().m
+    assert marks == "*2"
