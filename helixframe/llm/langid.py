@@ -14,6 +14,7 @@ are; ties go to the first language in code-point order; repeated rows and furthe
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -51,37 +52,82 @@ def stretches(token: str) -> list[str]:
     return [word[i : i + STRETCH] for i in range(0, len(word), STRETCH)]
 
 
-def lattice(words: list[str], vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths, and the row of the piece of length l + 1 that starts at i (-1: none)."""
-    ids = np.full((len(words), STRETCH, LONGEST_PIECE), -1, np.int32)
-    get = vocab.get
-    for w, word in enumerate(words):
-        n = len(word)
-        row = [[get(word[i : i + k], -1) for k in range(1, min(LONGEST_PIECE, n - i) + 1)] for i in range(n)]
-        for i, r in enumerate(row):
-            if r[0] < 0:
-                r[0] = 0
-            ids[w, i, : len(r)] = r
-    return np.array([len(w) for w in words]), ids
+class Pieces:
+    """Finds pieces at every place of many words at once: two hash tables without collisions, probed by array."""
+
+    BITS = 20
+
+    def __init__(self, vocab: dict[str, int]):
+        self.size = len(vocab) + 1
+        self.keys, self.rows = np.zeros((2, 1 << self.BITS), np.uint64), np.full((2, 1 << self.BITS), -1, np.int32)
+        rest = list(vocab.items())
+        for t in range(2):
+            left, taken = [], set()
+            for piece, row in rest:
+                key = self._key(piece)
+                at = int(self._slot(np.array([key], np.uint64), t)[0])
+                if at in taken:
+                    left.append((piece, row))
+                else:
+                    taken.add(at)
+                    self.keys[t, at], self.rows[t, at] = key, row
+            rest = left
+        self.rest = {np.uint64(self._key(p)): r for p, r in rest}
+
+    @staticmethod
+    def _key(piece: str) -> int:
+        key = 0
+        for c in piece:
+            key = (key * 0x9E3779B97F4A7C15 + ord(c) + 1) & ((1 << 64) - 1)
+        return key
+
+    def _slot(self, keys: np.ndarray, t: int) -> np.ndarray:
+        return (keys * np.uint64((0xBF58476D1CE4E5B9, 0x94D049BB133111EB)[t])) >> np.uint64(64 - self.BITS)
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """[word, i, k]: the row of the piece of k + 1 characters at i (-1: none). All words are of one length."""
+        n = len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
+        out = np.full((len(words), n, min(n, LONGEST_PIECE)), -1, np.int32)
+        keys = np.zeros((len(words), n + 1), np.uint64)
+        for k in range(out.shape[2]):
+            keys = keys[:, : n - k] * np.uint64(0x9E3779B97F4A7C15) + codes[:, k:]
+            for t in (0, 1):
+                slot = self._slot(keys, t)
+                hit = self.keys[t][slot] == keys
+                out[:, : n - k, k][hit] = self.rows[t][slot[hit]]
+            for key, row in self.rest.items():
+                out[:, : n - k, k][keys == key] = row
+        none = out[:, :, 0] < 0
+        out[:, :, 0][none] = 0
+        return out
+
+
+def by_length(words: list[str]) -> Iterator[np.ndarray]:
+    """Places of words of one length, in handy parts."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(size, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+        for a in range(0, len(part), 4096):
+            yield part[a : a + 4096]
 
 
 def forward(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """alpha[word, i, lang]: probability of the first i characters, over all segmentations. table's last row is 0."""
-    alpha = np.zeros((len(ids), STRETCH + 1, table.shape[1]))
-    alpha[:, 0] = 1
-    for i in range(STRETCH):
-        for k in range(min(LONGEST_PIECE, STRETCH - i)):
-            if (some := ids[:, i, k] >= 0).any():
-                alpha[some, i + k + 1] += alpha[some, i] * table[ids[some, i, k]]
-    return alpha
+    """Probability of each word in each language, over all segmentations. table's last row is 0."""
+    n = ids.shape[1]
+    alpha = np.zeros((n + 1, len(ids), table.shape[1]))
+    alpha[0] = 1
+    for i in range(n):
+        for k in range(min(ids.shape[2], n - i)):
+            alpha[i + k + 1] += alpha[i] * table[ids[:, i, k]]
+    return alpha[n]
 
 
-def likelihoods(words: list[str], vocab: dict[str, int], table: np.ndarray) -> np.ndarray:
+def likelihoods(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
     """log P(word | language) by forward algorithm, for distinct stretches."""
     out = np.zeros((len(words), table.shape[1]))
-    for a in range(0, len(words), 4096):
-        n, ids = lattice(words[a : a + 4096], vocab)
-        out[a : a + 4096] = np.log(np.maximum(forward(ids, table)[np.arange(len(n)), n], 1e-290))
+    for some in by_length(words) if words else ():
+        out[some] = np.log(np.maximum(forward(pieces.find([words[i] for i in some]), table), 1e-290))
     return out
 
 
@@ -109,31 +155,33 @@ def _expected(langs: list[str], vocab: dict[str, int], table: np.ndarray):
     place = {x: i for i, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(vocab) + 1, len(langs)))
+        pieces, size = Pieces(vocab), len(vocab) + 1
+        total = np.zeros(size * len(langs))
         for batch in batches:
+            if not batch.num_rows:
+                continue
             lang = np.array([place[x] for x in batch.column("lang").to_pylist()])
             words, count = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-            for a in range(0, len(words), 4096):
-                n, ids = lattice(words[a : a + 4096], vocab)
-                own, weight = lang[a : a + 4096], count[a : a + 4096]
-                rows = np.arange(len(n))
+            for some in by_length(words):
+                ids, own = pieces.find([words[i] for i in some]), lang[some]
+                n, longest = ids.shape[1:]
                 p = table[ids, own[:, None, None]]
-                p[ids < 0] = 0
-                alpha, beta = np.zeros((len(n), STRETCH + 1)), np.zeros((len(n), STRETCH + LONGEST_PIECE + 1))
-                alpha[:, 0] = 1
-                beta[rows, n] = 1
-                for i in range(STRETCH):
-                    for k in range(min(LONGEST_PIECE, STRETCH - i)):
-                        alpha[:, i + k + 1] += alpha[:, i] * p[:, i, k]
-                for i in range(STRETCH - 1, -1, -1):
-                    beta[:, i] += (p[:, i] * beta[:, i + 1 : i + 1 + LONGEST_PIECE]).sum(1)
-                scale = weight / np.maximum(alpha[rows, n], 1e-290)
-                for i in range(STRETCH):
-                    use = alpha[:, i, None] * p[:, i] * beta[:, i + 1 : i + 1 + LONGEST_PIECE] * scale[:, None]
-                    some = (ids[:, i] >= 0) & (use > 0)
-                    np.add.at(total, (ids[:, i][some], np.broadcast_to(own[:, None], some.shape)[some]), use[some])
-        piece, lang = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(lang, pa.int64()), pa.array(total[piece, lang], pa.float64())], ["piece", "lang", "uses"])
+                alpha, beta = np.zeros((n + 1, len(some))), np.zeros((n + longest + 1, len(some)))
+                alpha[0] = beta[n] = 1
+                for i in range(n):
+                    for k in range(min(longest, n - i)):
+                        alpha[i + k + 1] += alpha[i] * p[:, i, k]
+                for i in range(n - 1, -1, -1):
+                    for k in range(min(longest, n - i)):
+                        beta[i] += p[:, i, k] * beta[i + k + 1]
+                scale = count[some] / np.maximum(alpha[n], 1e-290)
+                for i in range(n):
+                    for k in range(min(longest, n - i)):
+                        use = alpha[i] * p[:, i, k] * beta[i + k + 1] * scale
+                        there = np.flatnonzero(ids[:, i, k] >= 0)
+                        total += np.bincount(ids[there, i, k] * len(langs) + own[there], use[there], len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at // len(langs), pa.int64()), pa.array(at % len(langs), pa.int64()), pa.array(total[at], pa.float64())], ["piece", "lang", "uses"])
 
     return run
 
@@ -169,6 +217,31 @@ def fit(labelled: DataFrame, vocab_path: str, docs_per_lang: int = DOCS_PER_LANG
     return langs, _table(uses)
 
 
+class _Known(dict):
+    """Numbers tokens as they come; new ones are listed."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        at = self[token] = len(self)
+        self.new.append(token)
+        return at
+
+
+def _token_logs(tokens: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
+    """log P(token | language): the sum over its stretches."""
+    parts = [stretches(t) for t in tokens]
+    flat = list(dict.fromkeys(s for p in parts for s in p))
+    row = dict(zip(flat, range(len(flat)), strict=True))
+    of = np.vstack([likelihoods(flat, pieces, table), np.zeros(table.shape[1])])
+    out = of[[row[p[0]] if p else len(flat) for p in parts]]
+    for i, p in enumerate(parts):
+        for s in p[1:]:
+            out[i] += of[row[s]]
+    return out
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: str) -> DataFrame:
     """doc_id, lang_pred and score, the posterior of that language under equal priors."""
     langs = model[0]
@@ -176,33 +249,26 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: st
     vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(vocab_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        logs = np.zeros((0, len(langs)))
+        pieces, table = Pieces(vocab.value), shared.value
+        known, logs = _Known(), np.zeros((0, len(langs)))
         for batch in by_bytes(batches, 4 << 20):
             texts = batch.column("text").to_pylist()
             tokens = [(t or "").lower().split() for t in texts]
             if len(known) > KNOWN_WORDS:
-                known, logs = {}, logs[:0]
-            new = list({w for ws in tokens for w in ws if w not in known})
-            if new:
-                parts = [stretches(w) for w in new]
-                flat = list(dict.fromkeys(s for p in parts for s in p))
-                at = dict(zip(flat, range(len(flat)), strict=True))
-                of = np.vstack([likelihoods(flat, vocab.value, shared.value), np.zeros(len(langs))])
-                rows = np.array([at[p[0]] if p else len(flat) for p in parts])
-                sums = of[rows]
-                for i, p in enumerate(parts):
-                    for s in p[1:]:
-                        sums[i] += of[at[s]]
-                known.update(zip(new, range(len(logs), len(logs) + len(new)), strict=True))
-                logs = np.vstack([logs, sums])
+                known, logs = _Known(), logs[:0]
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            at = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(tokens)), np.int64, int(sizes.sum()))
+            if known.new:
+                logs = np.vstack([logs, _token_logs(known.new, pieces, table)])
+                known.new = []
+            ends = np.cumsum(sizes)
             best, scores = [], []
-            for text, ws in zip(texts, tokens, strict=True):
+            for text, a, z in zip(texts, (ends - sizes).tolist(), ends.tolist(), strict=True):
                 if not langs or not text or not _LETTER.search(text):
                     best.append("und")
                     scores.append(0.0)
                     continue
-                total = logs[[known[w] for w in ws]].sum(0)
+                total = logs[at[a:z]].sum(0)
                 total = np.exp(total - total.max())
                 k = int(total.argmax())
                 best.append(langs[k])
