@@ -8,8 +8,9 @@ common prefix with a neighbour in suffix order is LENGTH or more are repeats.
 
 What needn't be sorted isn't: a minimizer that occurs once has no repeat; stretches with the same digest are copies,
 counted by partial aggregation, repeats as a whole, and only one of them goes to the shard. So a text with a third of
-all documents as copies costs one stretch, and nothing is dropped: each copy's bytes are marked by a join that adaptive
-execution can split. A minimizer with more than HOT distinct stretches (a passage in very many contexts) isn't sent to
+all documents as copies costs one stretch, and nothing is dropped: each copy's bytes are marked. Minimizers of up to BUSY
+rows are counted where a join has put them; those with more by partial aggregates and joins that adaptive execution
+can split. A minimizer with more than HOT distinct stretches (a passage in very many contexts) isn't sent to
 one shard: its windows are counted one by one by 128-bit digest, again with partial aggregation.
 
 Digests: a stretch is told by its 64-bit minimizer and a 64-bit digest of its bytes, a window of a hot minimizer by a
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import suffix_sort
@@ -38,6 +39,7 @@ from helixframe.llm.shingles import _coefficients, _mix
 
 LENGTH, GRAM = 200, 32
 HOT = 2048
+BUSY = 100_000
 SHARD_BYTES = 3 << 20
 PIECE = 1 << 18
 
@@ -247,20 +249,39 @@ def _remove(keep_bytes: bool):
     return run
 
 
+def _by_minimizer(cut: DataFrame, often: DataFrame) -> DataFrame:
+    """Stretches of minimizers with few rows: copies of each, whether it is the first of them, and the minimizer's kinds.
+
+    All is found where the join on the minimizer has put the rows.
+    """
+    same = Window.partitionBy("h", "d").orderBy("doc_id", "tag", "start")
+    met = cut.join(merged(often), "h").drop("rows")
+    met = met.withColumns({"first": F.row_number().over(same) == 1, "copies": F.count("*").over(Window.partitionBy("h", "d"))})
+    return met.withColumns({"kinds": F.sum(F.col("first").cast("int")).over(Window.partitionBy("h"))})
+
+
+def _by_counts(cut: DataFrame, often: DataFrame) -> DataFrame:
+    """The same for minimizers with any number of rows: counted by partial aggregates, joined back in splittable joins."""
+    met = settle(cut.join(merged(often), "h").drop("rows"), "busy")
+    place = F.struct("doc_id", "tag", "start")
+    distinct = met.groupBy("h", "d").agg(F.count("*").alias("copies"), F.min(place).alias("one"))
+    kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds"))
+    known = distinct.join(merged(kinds), "h")
+    return settle(met.join(merged(known), ["h", "d"]).withColumns({"first": place.eqNullSafe(F.col("one"))}).drop("one"), "counted")
+
+
 def repeated_spans(read: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, memory: int = suffix_sort.MEMORY) -> DataFrame:
     """Spans (doc_id, tag, start, stop) whose union is what to remove from read (doc_id, text). They may overlap.
 
     packed: PACKED, made from read; the caller joins it too, and Spark writes its shuffle once for both.
     """
     cut = read.mapInArrow(_cut(length, gram), STRETCH)
-    often = cut.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    candidates = settle(cut.join(merged(often), "h"), "candidates")
-    distinct = settle(candidates.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "start", "windows")).alias("one")), "distinct")
-    copies = candidates.join(merged(distinct.where("n > 1").select("h", "d")), ["h", "d"], "left_semi")
-    whole = copies.select("doc_id", "tag", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop"))
-
-    several = distinct.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = settle(distinct.join(merged(several), "h").select("one.doc_id", "one.tag", "h", "one.start", "one.windows", (F.col("kinds") > HOT).alias("hot")), "wanted")
+    often = settle(cut.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1"), "often")
+    candidates = settle(_by_minimizer(cut, often.where(F.col("rows") <= BUSY)), "candidates")
+    if (often.agg(F.max("rows")).first()[0] or 0) > BUSY:
+        candidates = candidates.unionByName(_by_counts(cut, often.where(F.col("rows") > BUSY)))
+    whole = candidates.where("copies > 1").select("doc_id", "tag", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop"))
+    wanted = candidates.where("first and kinds > 1").withColumns({"hot": F.col("kinds") > HOT})
     size, any_hot = wanted.agg(F.sum(F.when(~F.col("hot"), F.col("windows") + length)), F.max("hot")).first()
     of_doc = wanted.groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("id_tag")).agg(F.collect_list(F.struct("h", "start", "windows", "hot")).alias("wanted"))
     # rows equal in doc_id and text hold the same stretches: one of them is enough here
