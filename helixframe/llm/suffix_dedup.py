@@ -270,10 +270,18 @@ def _by_counts(cut: DataFrame, often: DataFrame) -> DataFrame:
     return settle(met.join(merged(known), ["h", "d"]).withColumns({"first": place.eqNullSafe(F.col("one"))}).drop("one"), "counted")
 
 
+KEY = ["id", "no_id", "tag"]
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Plain columns that tell documents apart, null ids too: joins and groupings on them share one partitioning."""
+    return rows.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()})
+
+
 def repeated_spans(read: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, memory: int = suffix_sort.MEMORY) -> DataFrame:
     """Spans (doc_id, tag, start, stop) whose union is what to remove from read (doc_id, text). They may overlap.
 
-    packed: PACKED, made from read; the caller joins it too, and Spark writes its shuffle once for both.
+    packed: PACKED with KEY, made from read; the caller joins it too, and Spark writes its shuffle once for both.
     """
     cut = read.mapInArrow(_cut(length, gram), STRETCH)
     often = settle(cut.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1"), "often")
@@ -283,9 +291,9 @@ def repeated_spans(read: DataFrame, packed: DataFrame, length: int = LENGTH, gra
     whole = candidates.where("copies > 1").select("doc_id", "tag", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop"))
     wanted = candidates.where("first and kinds > 1").withColumns({"hot": F.col("kinds") > HOT})
     size, any_hot = wanted.agg(F.sum(F.when(~F.col("hot"), F.col("windows") + length)), F.max("hot")).first()
-    of_doc = wanted.groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("id_tag")).agg(F.collect_list(F.struct("h", "start", "windows", "hot")).alias("wanted"))
+    of_doc = _keyed(wanted).groupBy(*KEY).agg(F.collect_list(F.struct("h", "start", "windows", "hot")).alias("wanted"))
     # rows equal in doc_id and text hold the same stretches: one of them is enough here
-    found = packed.join(merged(of_doc), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("id_tag"))).dropDuplicates(["doc_id", "tag"])
+    found = packed.join(merged(of_doc), KEY).dropDuplicates(KEY)
     stretch = found.select("doc_id", "tag", "packed", "wanted").mapInArrow(_extract(length), "h long, content binary, w1 long, w2 long, doc_id long, tag int, start long, windows int")
 
     shards = max(1, -(-(size or 0) // SHARD_BYTES))
@@ -301,9 +309,9 @@ def repeated_spans(read: DataFrame, packed: DataFrame, length: int = LENGTH, gra
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memory: int = suffix_sort.MEMORY, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_bytes kept_bytes and the removed spans."""
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = read.mapInArrow(_shrink, PACKED)
+    packed = _keyed(read.mapInArrow(_shrink, PACKED))
     spans = repeated_spans(read, packed, length, gram, memory)
-    of_doc = spans.groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("id_tag")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    met = packed.join(merged(of_doc), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("id_tag")), "left")
+    of_doc = _keyed(spans).groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    met = packed.join(merged(of_doc), KEY, "left")
     out = met.select("doc_id", "packed", "spans").mapInArrow(_remove(keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary, spans array<struct<start:long,stop:long>>")
     return out if keep_bytes else out.drop("kept_bytes", "spans")
