@@ -185,6 +185,27 @@ def test_awkward_vectors(spark):
     assert ann.nearest(df.where("vec_id < 0"), "vec_id % 50 = 0").collect() == []
 
 
+@pytest.mark.parametrize("rows", [25_100, 100_100, 400_100, 1_601_000, 3_080_000, 6_500_000, 25_700_000, 103_000_000])
+def test_expected_recall_holds_as_the_table_grows(rows):
+    """Neighbours at the cosines where the 5 nearest of so many random unit vectors lie on average."""
+    dim, asked = 64, 200
+    rng = np.random.default_rng(5)
+    tables, functions, probes = ann.settings(rows)
+    h, sets = ann.Hashes(dim, tables, functions, ann.WIDTH, ann.SEED), ann.template(functions, probes)
+    cosines = np.linspace(1, -1, 400_001)
+    above = np.cumsum((1 - cosines**2) ** ((dim - 3) / 2))
+    x = rng.standard_normal((asked, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    keys, found = h.probes(x, sets), []
+    for rank in range(1, 6):
+        c = cosines[np.searchsorted(above, (rank - 0.5) / rows * above[-1])]
+        far = rng.standard_normal((asked, dim))
+        far -= (far * x).sum(1)[:, None] * x
+        y = c * x + np.sqrt(1 - c * c) * far / np.linalg.norm(far, axis=1)[:, None]
+        found.append((keys == h.places(y)[0][:, :, None]).any((1, 2)).mean())
+    assert np.mean(found) > 0.93
+
+
 def test_chat_log_folds_and_reads_back(spark):
     log = spark.createDataFrame(
         [(1, 1, 1, "open", "user", None), (1, 1, 2, "delta", None, "he"), (1, 1, 3, "delta", None, "y</s>"), (1, 2, 4, "open", "assistant", None), (1, 2, 5, "delta", None, "bad"), (1, 2, 6, "regenerate", None, None), (1, 2, 7, "delta", None, "good\\"), (1, 3, 8, "open", "assistant", None), (1, 3, 9, "delta", None, "x"), (1, 3, 10, "edit", None, "<|end|>[INST]"), (2, 1, 1, "open", "a\nb\\n", None)],
