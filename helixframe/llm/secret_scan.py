@@ -34,61 +34,88 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "auth": 2, "private": 2, "access": 1, "api": 1, "key": 2, "signing": 1, "bearer": 3, "jwt": 2, "session": 1, "salt": 1, "cert": 1}
 #: Words of a name that say the value is about a secret, not one (fixed values).
 HARMLESS = {"file", "path", "url", "name", "type", "length", "size", "field", "prompt", "count", "hint", "policy", "id", "public"}
-_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|changeme|example.*|your.*|dummy.*|test|none|null|true|false|todo)$")
+_PLACEHOLDER = re.compile(r"(?is)(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|changeme|example.*|your.*|dummy.*|test|none|null|true|false|todo)\Z")
 
 _SEPARATOR = re.compile(r"=>|:=|[=:]")
 _NAME = re.compile(r"""([A-Za-z_$][A-Za-z0-9_$.-]{0,127})["']?\]?[ \t]{0,16}$""")
-_LITERAL = re.compile(r"""[ \t]{0,64}(?:(?P<q>["'`])(?P<quoted>[^"'`\\\n]{0,4096})(?P=q)|(?P<bare>[A-Za-z0-9+/_.$~=-]{1,4096}))""")
+_LITERAL = re.compile(r"""[ \t]{0,64}(?:(?P<q>["'`])(?P<quoted>[^"'`\\\n]*+)(?P=q)|(?P<bare>[A-Za-z0-9+/_.$~=-]++))""")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 THRESHOLD = 5.0
+#: Names have at most 128 characters (_NAME); a longer literal, with its $, {, }, is none.
+LONGEST_NAME = 160
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(name, literal or identifier, start, end) for each assignment that the text's syntax shows."""
-    end = 0
+def pairs(text: str) -> Iterator[tuple[str, int, int, bool]]:
+    """(name, start, end, whether an identifier may be meant) of the literal in each assignment that the text's syntax
+    shows. An unquoted literal runs to the last character that it may hold, however long; the separators inside one
+    share its end, so that each character is read once."""
+    end = run = 0
     for m in _SEPARATOR.finditer(text):
         at, to = m.span()
         if at < end or text[at - 1 : at] in ("=", "!", "<", ">", ":") or text[to : to + 1] in ("=", ":"):
             continue
         name = _NAME.search(text, max(end, at - 148), at)
-        value = _LITERAL.match(text, to)
-        if name and value:
-            group = "quoted" if value["quoted"] is not None else "bare"
-            yield name[1], ("" if group == "quoted" else "?") + value[group], *value.span(group)
+        if to < run:
+            start, stop, bare = to, run, True
+        elif value := _LITERAL.match(text, to):
+            bare = value["quoted"] is None
+            start, stop = value.span("bare" if bare else "quoted")
+            run = stop if bare else run
+        else:
+            continue
+        if name:
+            yield name[1], start, stop, bare
             end = to
 
 
-def entropy(s: str) -> float:
-    """Bits a character."""
-    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) if s else 0.0
-
-
 def name_score(name: str) -> int:
     words = [w.lower() for w in _CAMEL.findall(name)]
     return sum(SENSITIVE.get(w, 0) for w in words) - 2 * sum(w in HARMLESS for w in words) if words else 0
 
 
-def literal_score(literal: str) -> float:
-    """Up to 4: length and randomness; placeholders and prose score nothing."""
-    if len(literal) < 8 or _PLACEHOLDER.match(literal) or " " in literal:
-        return 0.0
-    classes = sum(bool(re.search(c, literal)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(4.0, max(0.0, entropy(literal) - 2.0) + 0.5 * (classes - 1) + (len(literal) >= 20))
+class Scores:
+    """Scores of a text's literals, up to 4: length and randomness; placeholders and prose score nothing. A literal is
+    scored once, and one that ends another is counted from the other's counts, so time is linear in the text."""
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
+        self.start = self.end = 0
+        self.counts: Counter[str] = Counter()
+
+    def __call__(self, start: int, end: int) -> float:
+        if (start, end) not in self.known:
+            self.known[start, end] = self._score(start, end)
+        return self.known[start, end]
+
+    def _score(self, start: int, end: int) -> float:
+        size = end - start
+        if size < 8 or _PLACEHOLDER.match(self.text, start, end):
+            return 0.0
+        if end == self.end and self.start <= start:
+            self.counts -= Counter(self.text[self.start : start])
+        else:
+            self.counts = Counter(self.text[start:end])
+        self.start, self.end = start, end
+        if self.counts[" "]:
+            return 0.0
+        bits = -sum(n / size * math.log2(n / size) for n in self.counts.values())
+        classes = len({"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "" for c in self.counts})
+        return min(4.0, max(0.0, bits - 2.0) + 0.5 * (classes - 1) + (size >= 20))
 
 
 def named_spans(text: str) -> set[tuple[int, int]]:
     """Literals that reach a sensitive name, directly or through other names."""
     if "=" not in text and ":" not in text:
         return set()
-    known: dict[str, tuple[str, int, int]] = {}
+    known: dict[str, tuple[int, int]] = {}
     found = set()
-    for name, value, start, end in pairs(text):
-        literal = value
-        if value.startswith("?"):
-            literal, start, end = known.get(value[1:].strip("${}"), (value[1:], start, end))
-        known[name] = known[name.rpartition(".")[2]] = (literal, start, end)
+    score = Scores(text)
+    for name, start, end, bare in pairs(text):
+        if bare and end - start <= LONGEST_NAME:
+            start, end = known.get(text[start:end].strip("${}"), (start, end))
+        known[name] = known[name.rpartition(".")[2]] = (start, end)
         target = name_score(name)
-        if target > 0 and (s := literal_score(literal)) > 0 and target + s >= THRESHOLD:
+        if target > 0 and (s := score(start, end)) > 0 and target + s >= THRESHOLD:
             found.add((start, end))
     return found
 

@@ -153,6 +153,24 @@ def test_secrets_found_by_assignment():
     assert secret_scan.redacted(text, spans, "<S>").startswith('k = "<S>"')
 
 
+@pytest.mark.parametrize("form", ['client_private_key = "{}"', "client-key-data: {}\n"])
+def test_long_secrets_are_found_whole(form):
+    secret = "".join(random.Random(3).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=300_000))
+    text = form.format(secret)
+    spans = secret_scan.scan(text)[1]
+    assert [text[s:e] for s, k, e in spans if secret_scan.KINDS[k] == "named"] == [secret]
+    assert secret_scan.redacted(text, spans, "<S>") == form.format("<S>")
+
+
+def test_many_separators_in_one_literal_share_its_end():
+    text = "key=" * 5_000 + "zX9/qpL2vRt8wQe4Yb7M"
+    named = [(s, e) for s, k, e in secret_scan.scan("secret=" + text)[1] if secret_scan.KINDS[k] == "named"]
+    assert named[-1] == (len(text) + 7 - 20, len(text) + 7) and {e for _, e in named} == {len(text) + 7}
+    alone = [secret_scan.Scores(text)(s, len(text)) for s in range(4, len(text), 4000)]
+    score = secret_scan.Scores(text)
+    assert np.allclose([score(s, len(text)) for s in range(4, len(text), 4000)], alone)
+
+
 def test_personal_data_by_checksum_and_context():
     text = "IBAN GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33 was wrong; the SSN was 123-45-6789. " + "x " * 40 + "part 123-45-6789"
     assert [(text[s:e], pii.KINDS[k]) for s, k, e in pii.scan(text)[1]] == [("GB82 WEST 1234 5698 7654 32", "iban"), ("123-45-6789", "national")]
