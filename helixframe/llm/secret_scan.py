@@ -1,7 +1,8 @@
 """Secret scans: three fixed patterns, and an assignment-aware lexer.
 
-The lexer reads source and configuration syntax (`name = "literal"`, `name: literal`, `"name" => 'literal'`) into
-name-literal pairs, carries constants from name to name, and scores each literal by how sensitive its target names are
+The lexer reads source and configuration syntax (`name = "literal"`, `name: literal`, `"name" => 'literal'`,
+`name: type = "literal"`, with escapes and every kind of quote) into name-literal pairs, carries constants from name to
+name, also through `$name` and `${name}`, and scores each literal by how sensitive its target names are
 and how random it looks. Spans are code points, end exclusive.
 
 Each text is scanned alone, whole, in time linear in its length; nothing is shuffled.
@@ -38,34 +39,75 @@ _PLACEHOLDER = re.compile(r"(?is)(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|changeme|examp
 
 _SEPARATOR = re.compile(r"=>|:=|[=:]")
 _NAME = re.compile(r"""([A-Za-z_$][A-Za-z0-9_$.-]{0,127})["']?\]?[ \t]{0,16}$""")
-_LITERAL = re.compile(r"""[ \t]{0,64}(?:(?P<q>["'`])(?P<quoted>[^"'`\\\n]*+)(?P=q)|(?P<bare>[A-Za-z0-9+/_.$~=-]++))""")
+_LITERAL = re.compile(
+    r"""[ \t]{0,64}(?:"{3}(?P<long>(?:[^"\\]++|\\.|"(?!""))*+)"{3}|'{3}(?P<long1>(?:[^'\\]++|\\.|'(?!''))*+)'{3}"""
+    r"""|"(?P<double>(?:[^"\\\n]++|\\.)*+)"|'(?P<single>(?:[^'\\\n]++|\\.)*+)'|`(?P<back>(?:[^`\\]++|\\.)*+)`"""
+    r"""|(?P<bare>\$\{[A-Za-z_][A-Za-z0-9_.]*\}|[A-Za-z0-9+/_.$~=-]++))""",
+    re.S,
+)
+#: A whole literal that stands for a name's value.
+_REFERENCE = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_.]*)\}|([A-Za-z_][A-Za-z0-9_]*))")
+#: A type between a name's colon and its equals sign, without what its brackets hold.
+_TYPE = re.compile(r"(?:(?:const|constant|dyn|mut|readonly|unsigned|'\w+)[ \t]+|[*&])*(?:\w|\.|::)++[ \t]*[?!*&]*(?:[ \t]*\|[ \t]*(?:\w|\.|::)++[ \t]*[?!*&]*)*+")
+_IN_TYPE = re.compile(r"""[\w .,|?!*&:'"\[\]<>()\t-]++""")
+#: Types that are no names of constants.
+BUILT_IN = {"Any", "None", "Optional", "Str", "String", "bytes", "char", "null", "object", "str", "string", "undefined"}
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=]{16}")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 THRESHOLD = 5.0
 #: Names have at most 128 characters (_NAME); a longer literal, with its $, {, }, is none.
 LONGEST_NAME = 160
 
 
+def is_type(text: str, start: int, end: int) -> bool:
+    """Whether a stretch of text reads as a type: words joined by |, with any brackets after them."""
+    if not _IN_TYPE.fullmatch(text, start, end):
+        return False
+    kind = text[start:end].strip()
+    if kind[-1:] in ("'", '"'):
+        kind = kind.strip("'\"")
+    outer, depth = [], 0
+    for c in kind:
+        depth += c in "[<("
+        if not depth:
+            outer.append(c)
+        depth -= c in "])>"
+        if depth < 0:
+            return False
+    return not depth and bool(_TYPE.fullmatch("".join(outer)))
+
+
 def pairs(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """(name, start, end, whether an identifier may be meant) of the literal in each assignment that the text's syntax
     shows. An unquoted literal runs to the last character that it may hold, however long; the separators inside one
-    share its end, so that each character is read once."""
+    share its end, so that each character is read once. In `name: type = literal` the literal is the name's (and the
+    last word's, which may be a name too)."""
     end = run = 0
+    typed: tuple[str, int] | None = None
     for m in _SEPARATOR.finditer(text):
         at, to = m.span()
         if at < end or text[at - 1 : at] in ("=", "!", "<", ">", ":") or text[to : to + 1] in ("=", ":"):
             continue
         name = _NAME.search(text, max(end, at - 148), at)
+        names = [name[1]] if name else []
+        if m[0] == ":":
+            typed = (name[1], to) if name else typed
+        else:
+            if typed and m[0] != "=>" and is_type(text, typed[1], at):
+                names = [typed[0], *(n for n in names if n not in BUILT_IN)]
+            typed = None
         if to < run:
             start, stop, bare = to, run, True
         elif value := _LITERAL.match(text, to):
-            bare = value["quoted"] is None
-            start, stop = value.span("bare" if bare else "quoted")
+            bare = value.lastgroup == "bare"
+            start, stop = value.span(value.lastgroup)
             run = stop if bare else run
         else:
             continue
-        if name:
-            yield name[1], start, stop, bare
-            end = to
+        for n in names:
+            yield n, start, stop, bare
+        end = to if names else end
 
 
 def name_score(name: str) -> int:
@@ -74,8 +116,9 @@ def name_score(name: str) -> int:
 
 
 class Scores:
-    """Scores of a text's literals, up to 4: length and randomness; placeholders and prose score nothing. A literal is
-    scored once, and one that ends another is counted from the other's counts, so time is linear in the text."""
+    """Scores of a text's literals, up to 4: length and randomness, or a private key in PEM; placeholders and prose
+    score nothing. A literal is scored once, and one that ends another is counted from the other's counts, so time is
+    linear in the text."""
 
     def __init__(self, text: str):
         self.text, self.known = text, {}
@@ -97,7 +140,8 @@ class Scores:
             self.counts = Counter(self.text[start:end])
         self.start, self.end = start, end
         if self.counts[" "]:
-            return 0.0
+            head = _PEM.search(self.text, start, end)
+            return 4.0 if head and _PEM_BODY.search(self.text, head.end(), end) else 0.0
         bits = -sum(n / size * math.log2(n / size) for n in self.counts.values())
         classes = len({"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "" for c in self.counts})
         return min(4.0, max(0.0, bits - 2.0) + 0.5 * (classes - 1) + (size >= 20))
@@ -111,8 +155,11 @@ def named_spans(text: str) -> set[tuple[int, int]]:
     found = set()
     score = Scores(text)
     for name, start, end, bare in pairs(text):
-        if bare and end - start <= LONGEST_NAME:
-            start, end = known.get(text[start:end].strip("${}"), (start, end))
+        if end - start <= LONGEST_NAME:
+            if bare:
+                start, end = known.get(text[start:end].strip("${}"), (start, end))
+            elif reference := _REFERENCE.fullmatch(text, start, end):
+                start, end = known.get(reference[1] or reference[2], (start, end))
         known[name] = known[name.rpartition(".")[2]] = (start, end)
         target = name_score(name)
         if target > 0 and (s := score(start, end)) > 0 and target + s >= THRESHOLD:
