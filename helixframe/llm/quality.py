@@ -5,7 +5,7 @@ rule depends on rounding. The compiled projection has no user function, join or
 it emits one row per document, whatever the size of the corpus.
 
 Defined results: a null or empty text has no words, fails the word-count rule and is rejected; repeated rows and
-ties are judged row by row; extra columns pass through `annotate` untouched unless they are named like one of its
+ties are judged row by row; without a `lang`, a text counts as one in a covered language; extra columns pass through `annotate` untouched unless they are named like one of its
 outputs, which then replace them; an empty table gives an empty table.
 """
 
@@ -20,6 +20,9 @@ from helixframe.llm.common import text_or_empty
 
 SYMBOLS = "[#*$%&|<>]"
 
+#: The languages that STOP_WORDS and the bound on long words are made for, and codes that name no language.
+COVERED = ("en", "de", "fr", "es", "eng", "deu", "ger", "fra", "fre", "spa")
+NO_LANGUAGE = ("und", "mul", "mis", "zxx", "unk", "xx", "xxx")
 #: Frequent function words of the four languages of the corpora (fixed values).
 STOP_WORDS = (
     "the be to of and that have with is was for are on in a by from at as or it "
@@ -34,6 +37,7 @@ class Rule:
     """Reject a document when 100 * part is above max_percent (or below min_percent) of whole (empty: of 1).
 
     min_words: the rule doesn't speak about texts with fewer words.
+    covered: nor, if this is set, about texts whose `lang` names a language other than COVERED.
     """
 
     name: str
@@ -42,11 +46,13 @@ class Rule:
     max_percent: int | None = None
     min_percent: int | None = None
     min_words: int = 0
+    covered: bool = False
 
-    def fails(self) -> Column:
+    def fails(self, elsewhere: Column) -> Column:
         part, whole = F.col(self.part) * 100, F.col(self.whole) if self.whole else F.lit(1)
         out = part > whole * self.max_percent if self.max_percent is not None else part < whole * self.min_percent
-        return out & (F.col("n_words") >= self.min_words) if self.min_words else out
+        out = out & (F.col("n_words") >= self.min_words) if self.min_words else out
+        return out & ~elsewhere if self.covered else out
 
 
 #: The threshold table. The first two are the base rules.
@@ -55,9 +61,9 @@ RULES = (
     Rule("repeated_windows", "n_repeat_words", "n_words", max_percent=20),
     Rule("symbols", "n_symbols", "n_words", max_percent=25, min_words=10),
     Rule("short_words", "word_chars", "n_words", min_percent=200, min_words=10),
-    Rule("long_words", "word_chars", "n_words", max_percent=1500, min_words=10),
+    Rule("long_words", "word_chars", "n_words", max_percent=1500, min_words=10, covered=True),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", max_percent=50, min_words=10),
-    Rule("stop_words", "n_stop_words", "n_words", min_percent=2, min_words=40),
+    Rule("stop_words", "n_stop_words", "n_words", min_percent=2, min_words=40, covered=True),
 )
 BASE_RULES = ("few_words", "repeated_windows")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
@@ -117,18 +123,27 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("__text", "__words", "__lines", "__symbols", "__hashes", "__windows")
 
 
+def _elsewhere(df: DataFrame) -> Column:
+    """Whether `lang` (a code, with a region or not) names a language other than COVERED; not if it names none."""
+    if "lang" not in df.columns:
+        return F.lit(False)
+    code = F.lower(F.regexp_extract(F.coalesce(F.col("lang").cast("string"), F.lit("")), "^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
+    return (code != "") & ~code.isin(*COVERED, *NO_LANGUAGE)
+
+
 def annotate(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """df with its measures, failed_rules (comma-joined names, in table order), base_failed and kept."""
     df = measures(df, text)
-    named = [F.when(r.fails(), F.lit(r.name)) for r in rules]
-    base = [r.fails() for r in rules if r.name in BASE_RULES]
+    elsewhere = _elsewhere(df)
+    named = [F.when(r.fails(elsewhere), F.lit(r.name)) for r in rules]
+    base = [r.fails(elsewhere) for r in rules if r.name in BASE_RULES]
     df = df.withColumns({"failed_rules": F.concat_ws(",", *named), "base_failed": base[0] | base[1] if len(base) == 2 else F.lit(False)})
     return df.withColumns({"kept": F.col("failed_rules") == ""})
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The pipeline's stage: documents that no rule rejects, with the columns they came with, whatever their names."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("text"), *(["lang"] if "lang" in docs.columns else []))
     # a filter moves below a projection by copying its expressions, here a dozen arrays many times over; it can't pass a
     # projection that numbers rows
     judged = annotate(packed, rules).select("__row", "kept", F.monotonically_increasing_id().alias("__number"))

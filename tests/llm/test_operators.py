@@ -295,6 +295,19 @@ def test_packing_fills_windows_and_keeps_every_id(spark):
     assert ((sizes == 64) | (sizes & (sizes - 1) == 0)).all() and (sizes == 64).mean() > 0.9
 
 
+def test_language_rules_speak_only_of_languages_they_cover(spark):
+    def made(letters, sizes, n, seed):
+        r = random.Random(seed)
+        return " ".join("".join(r.choices(letters, k=r.choice(sizes))) for _ in range(n))
+
+    polish, japanese = made("aąbcćdeęfgłmnńoórsśtwzźż", (6, 7, 8), 60, 1), made("日本語文字列検索学習東京大阪", (25, 30), 14, 2)
+    rows = [(1, polish, "pl"), (2, polish, "pl-PL"), (3, japanese, "ja"), (4, polish, "en"), (5, polish, None), (6, japanese, "und"), (7, "x", "pl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == [1, 2, 3]
+    failed = {r.doc_id: r.failed_rules for r in quality.annotate(docs).collect()}
+    assert failed == {1: "", 2: "", 3: "", 4: "stop_words", 5: "stop_words", 6: "long_words", 7: "few_words"}
+
+
 def test_quality_rules_are_one_projection(spark):
     plan = quality.annotate(edge.documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Exchange|Join|Generate", plan)
