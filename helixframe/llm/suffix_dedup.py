@@ -4,49 +4,62 @@ Finding repeats needs a suffix order over the whole corpus; sharding makes it lo
 minimizer, the least hash among its GRAM-byte grams. Equal windows have equal minimizers, so the corpus falls into
 shards by minimizer: maximal runs of windows with the same minimizer occurrence ("stretches") go to its shard, and two
 equal windows always meet there. A shard is suffix-sorted by external induced sorting (suffix_sort): windows whose
-common prefix with a neighbour in suffix order is LENGTH or more are repeats.
+common prefix with a neighbour in suffix order is LENGTH or more are repeats. Every span comes from that sort.
 
-What needn't be sorted isn't: a minimizer that occurs once has no repeat; stretches with the same digest are copies,
-counted by partial aggregation, repeats as a whole, and only one of them goes to the shard. So a text with a third of
-all documents as copies costs one stretch, and nothing is dropped: each copy's bytes are marked. Minimizers of up to BUSY
-rows are counted where a join has put them; those with more by partial aggregates and joins that adaptive execution
-can split. A minimizer with more than HOT distinct stretches (a passage in very many contexts) isn't sent to
-one shard: its windows are counted one by one by 128-bit digest, again with partial aggregation.
+What keeps shards small: a minimizer that occurs once has no repeat and goes no further. Stretches of equal content are
+one class; a class that occurs more than once lies in its shard twice, so the sort finds its windows repeated, and what
+it finds is handed to all of the class's places by a join. So a text with a third of all documents as copies costs two
+stretches in the sort, and nothing is dropped. A class that is the only one under its key can lie in any shard: it goes
+with its neighbours in the text, in one piece, so that their overlapping ends are sorted once. A minimizer with more than HOT classes (a passage in very many contexts)
+is split: its windows are dealt by the place of the gram in them, and each part is keyed by the bytes that all its
+windows hold. Equal windows still meet, the classes of each new key are again counted before they are sorted, and the
+parts get finer until a part is one window and so one class. All this is the same at every size.
 
-Digests: a stretch is told by its 64-bit minimizer and a 64-bit digest of its bytes, a window of a hot minimizer by a
-128-bit digest.
+A partition's rows come sorted by key; shards of about SHARD_BYTES are cut from them where the key changes, so neither
+partitions nor memory grow with the corpus.
+
+Digests: a class is told by its key (64 bits) and a 64-bit digest of its bytes. Documents are told by a number that is
+written with their text before anything else is done; doc_id is never compared.
 
 Defined results: a null or empty text has 0 bytes and keeps 0; windows never cross documents; repeated rows are
-documents each (rows equal in doc_id and text get equal results); a text of one repeated byte keeps nothing from 201
+documents each; a null doc_id is a document like any other; a text of one repeated byte keeps nothing from 201
 bytes on; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import suffix_sort
 from helixframe.llm.common import by_bytes, merged, settle
 from helixframe.llm.shingles import _coefficients, _mix
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 64
 HOT = 2048
-BUSY = 100_000
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
+#: Neighbouring classes whose keys are theirs alone are sorted as one piece, so many at most.
+NEIGHBOURS = 64
 PIECE = 1 << 18
+#: A hot key's windows fall into this many parts by the place of its gram, and each part into as many again.
+FINER = 4
 
 _OF_BYTE = _coefficients(256, 11)
 _FACTORS = _coefficients(16, 12)
-STRETCH = "h long not null, d long not null, doc_id long, tag int not null, start long not null, windows int not null"
-PACKED = "doc_id long, tag int not null, packed binary not null"
+#: A stretch: its key and the digest of its bytes, its owner (a document's number, or a class one level up), its first
+#: byte there, its windows, and where its gram begins.
+PLACE = "h long not null, d long not null, o1 long not null, o2 long not null, start long not null, windows int not null, gram int not null"
+#: Bytes to sort: of one class, or of neighbouring ones that share no key with others.
+PIECES = "h long, copied boolean, gram int, content binary, members array<struct<h:long,d:long,first:int,windows:int>>"
+FOUND = "h long, d long, first int, last int"
+MEMBERS = pa.list_(pa.struct([("h", pa.int64()), ("d", pa.int64()), ("first", pa.int32()), ("windows", pa.int32())]))
 
 
 def gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
@@ -67,9 +80,10 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - k)], x[width - k :]) if width > k else x
 
 
-def stretches(b: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one minimizer occurrence in joined documents that end at ends: minimizer, first window, windows."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def stretches(b: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one minimizer occurrence in joined documents that end at ends: minimizer, first window,
+    windows, and the minimizer's place."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(b) < length:
         return none
     grams = gram_hashes(b, gram)
@@ -81,7 +95,16 @@ def stretches(b: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int =
     new = np.r_[True, (least[1:] != least[:-1]) | (grams[: n - 1] == least[:-1]) | ~inside[:-1]]
     at = np.flatnonzero(new & inside)
     stop = np.flatnonzero(np.r_[(new[1:] | ~inside[1:]), True] & inside) + 1
-    return least[at], at, stop - at
+    # the first gram from a window's start on that has the least hash, among those that are the least of any window
+    h, width = least[at], length - gram + 1
+    most = ~sliding_least(~np.r_[np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)], width)
+    chosen = np.flatnonzero(most == grams)
+    place = np.searchsorted(chosen, at)
+    left = np.arange(len(at))
+    while len(left := left[grams[chosen[place[left]]] != h[left]]):
+        place[left] += 1
+    place = chosen[place]
+    return h, at, stop - at, place - at
 
 
 def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -104,119 +127,167 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
         yield np.frombuffer(b"".join(joined), np.uint8), np.array(ends), np.array(docs), np.array(offsets)
 
 
-def _tag(data: bytes) -> int:
-    """Tells rows apart that share a doc_id."""
-    import xxhash
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with a number of their own, and their texts compressed."""
+    import zstandard
+
+    z, number = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 36
+    for batch in by_bytes(batches, 4 << 20):
+        packed = [z.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(packed)), pa.int64()), batch.column("doc_id"), pa.array(packed, pa.binary())], ["number", "doc_id", "packed"])
+        number += len(packed)
+
+
+def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """A batch's rows, a few at a time as Python objects."""
+    for a in range(0, batch.num_rows, 128):
+        yield from zip(*(batch.column(c).slice(a, 128).to_pylist() for c in columns), strict=True)
+
 
-    return xxhash.xxh32_intdigest(data) - (1 << 31)
+def _batch(columns: Iterable, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "array<struct<h:long,d:long,first:int,windows:int>>": MEMBERS}
+    fields = [f.split()[:2] for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
 def _cut(length: int, gram: int):
+    """The stretches of each document."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
+        import zstandard
+
+        z, numbers, texts, size = zstandard.ZstdDecompressor(), [], [], 0
+        for batch in batches:
+            for number, packed in _rows(batch, "number", "packed"):
+                numbers.append(number)
+                texts.append(z.decompress(packed))
+                size += len(texts[-1])
+                if size > 1 << 20:
+                    yield numbers, texts
+                    numbers, texts, size = [], [], 0
+        yield numbers, texts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in by_bytes(batches, 1 << 20):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            tags = np.array([_tag(t) for t in texts], np.int32)
+        digest = xxhash.xxh3_64_intdigest
+        for numbers, texts in groups(batches):
+            of_text = np.array(numbers, np.int64)
             for b, ends, docs, offsets in _pieces(texts, length):
-                h, at, n = stretches(b, ends, length, gram)
+                h, at, n, place = stretches(b, ends, length, gram)
                 if len(h):
-                    data, digest = b.tobytes(), xxhash.xxh3_64_intdigest
+                    data = b.tobytes()
                     d = np.array([digest(data[s:e]) for s, e in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)], np.uint64)
                     of = np.searchsorted(ends, at, "right")
                     begins = np.r_[0, ends[:-1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d.view(np.int64)), pa.array(ids[docs[of]], pa.int64(), from_pandas=True), pa.array(tags[docs[of]]), pa.array(at - begins[of] + offsets[of]), pa.array(n.astype(np.int32))], ["h", "d", "doc_id", "tag", "start", "windows"])
+                    yield _batch((h.view(np.int64), d.view(np.int64), of_text[docs[of]], np.zeros(len(h), np.int64), at - begins[of] + offsets[of], n.astype(np.int32), place.astype(np.int32)), PLACE)
 
     return run
 
 
-def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the shuffle."""
-    import zstandard
-
-    z = zstandard.ZstdCompressor(level=1)
-    for batch in by_bytes(batches):
-        texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_tag(t) for t in texts], pa.int32()), pa.array([z.compress(t) for t in texts], pa.binary())], ["doc_id", "tag", "packed"])
-
-
-def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
-    """A batch's rows, a few at a time as Python objects."""
-    for a in range(0, batch.num_rows, 128):
-        yield from zip(*(batch.column(c).slice(a, 128).to_pylist() for c in columns), strict=True)
+def neighbours(wanted: list[dict]) -> Iterator[list[dict]]:
+    """A text's wanted classes in groups that are sorted as one piece: runs of neighbours that are alone under their keys."""
+    group: list[dict] = []
+    for w in sorted(wanted, key=lambda w: w["start"]):
+        if group and not (w["alone"] and group[-1]["alone"] and w["start"] == group[-1]["start"] + group[-1]["windows"] and len(group) < NEIGHBOURS):
+            yield group
+            group = []
+        group.append(w)
+    if group:
+        yield group
 
 
 def _extract(length: int):
-    """Bytes of the wanted stretches; of those under a hot minimizer a digest for each window instead."""
+    """The bytes of one stretch of each class, from the texts that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         import zstandard
 
-        z = zstandard.ZstdDecompressor()
-        names = ["h", "content", "w1", "w2", "doc_id", "tag", "start", "windows"]
+        z, rows, size = zstandard.ZstdDecompressor(), [], 0
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, tag, packed, wanted in _rows(batch, "doc_id", "tag", "packed", "wanted"):
+            for packed, wanted in _rows(batch, "packed", "wanted"):
                 text = z.decompress(packed)
-                for w in wanted:
-                    s, n = w["start"], w["windows"]
-                    if w["hot"]:
-                        for i in range(s, s + n):
-                            x = xxhash.xxh3_128_intdigest(text[i : i + length])
-                            rows.append((w["h"], None, (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63), doc_id, tag, i, 1))
-                    else:
-                        rows.append((w["h"], text[s : s + n + length - 1], None, None, doc_id, tag, s, n))
-                if len(rows) > 4_000:
-                    yield _batch(rows, names)
-                    rows = []
-            yield _batch(rows, names)
+                for group in neighbours(wanted):
+                    start, last = group[0]["start"], group[-1]
+                    content = text[start : last["start"] + last["windows"] + length - 1]
+                    rows.append((last["h"], last["copied"], last["gram"], content, [{"h": w["h"], "d": w["d"], "first": w["start"] - start, "windows": w["windows"]} for w in group]))
+                    size += len(content)
+                if size > 1 << 20:
+                    yield _batch(zip(*rows, strict=True), PIECES)
+                    rows, size = [], 0
+        if rows:
+            yield _batch(zip(*rows, strict=True), PIECES)
+
+    return run
+
+
+def split(content: bytes, gram: int, length: int, step: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Parts of a stretch whose gram begins at `gram`: place of the part, first window, windows, and the bytes shared.
+
+    A window's place is the gram's offset in it, in steps. Equal windows have equal places, and the bytes that every
+    window of a place must hold, so both may be the key under which they meet.
+    """
+    windows = len(content) - length + 1
+    for place in range((gram - windows + 1) // step, gram // step + 1):
+        first, last = max(0, gram - (place + 1) * step + 1), min(windows - 1, gram - place * step)
+        yield place, first, last - first + 1, content[gram - place * step : gram + length - (place + 1) * step + 1]
+
+
+def _split(length: int, step: int):
+    """Finer stretches of the classes of hot keys; a class with copies is there twice, as in a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-        cols = list(zip(*rows, strict=True)) or [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        for batch in batches:
+            rows = []
+            for h, copied, gram, content, members in _rows(batch, "h", "copied", "gram", "content", "members"):
+                d = members[0]["d"]
+                for place, first, windows, core in split(content, gram, length, step):
+                    part = content[first : first + windows + length - 1]
+                    key, digest = (x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh3_64_intdigest(core, place), xxhash.xxh3_64_intdigest(part)))
+                    rows += [(key, digest, h, d, first, windows, gram - first, part)] * (2 if copied else 1)
+            if rows:
+                yield _batch(zip(*rows, strict=True), PLACE.replace(" not null", "") + ", content binary")
 
     return run
 
 
-def _sort_shard(length: int, memory: int):
-    """Repeated windows of a shard, as spans of their documents. The shard's text is gathered in a file of this task."""
+def _sort_shards(length: int, memory: int):
+    """Repeated windows (first, last) of classes. Rows come sorted by key; a shard ends where the key changes."""
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        rows, size, now = [], 0, None
+        for batch in batches:
+            for row in _rows(batch, "h", "copied", "content", "members"):
+                if row[0] != now:
+                    now = row[0]
+                    if size > SHARD_BYTES:
+                        yield rows
+                        rows, size = [], 0
+                rows.append(row)
+                size += (len(row[2]) + 1) * (2 if row[1] else 1)
+        if rows:
+            yield rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
-            path, size = os.path.join(folder, "text"), 0
-            ids, tags, starts, sizes = [], [], [], []
-            with open(path, "wb") as f:
-                for batch in batches:
-                    if not batch.num_rows:
-                        continue
-                    content = batch.column("content").to_pylist()
-                    raw = np.frombuffer(b"\xff".join(content) + b"\xff", np.uint8) + np.uint8(suffix_sort.SHIFT)  # 0xFF wraps to the separator
-                    f.write(raw.tobytes())
-                    ids += batch.column("doc_id").to_pylist()
-                    tags += batch.column("tag").to_pylist()
-                    starts.append(batch.column("start").to_numpy())
-                    sizes.append(np.array([len(c) + 1 for c in content]))
-                    size += len(raw)
-                f.write(b"\0")
-            if not size:
-                return
-            text = np.memmap(path, np.uint8, "r") if size > memory else np.fromfile(path, np.uint8)
-            stop = np.cumsum(np.concatenate(sizes))
-            begin = np.r_[0, stop[:-1]]
-            hit = suffix_sort.repeated(text, length, folder, memory)
-            del text
-            of = np.searchsorted(begin, hit, "right") - 1
-            inside = hit + length < stop[of]  # else it runs over a separator into the next stretch
-            hit, of = hit[inside], of[inside]
-            if not len(hit):
-                return
-            at = np.concatenate(starts)[of] + hit - begin[of]
-            head = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (hit[1:] != hit[:-1] + 1)])
-            tail = np.r_[head[1:], len(hit)] - 1
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in of[head]], pa.int64()), pa.array([tags[i] for i in of[head]], pa.int32()), pa.array(at[head]), pa.array(at[tail] + length)], ["doc_id", "tag", "start", "stop"])
+            for rows in shards(batches):
+                content = [r[2] for r in rows]
+                twins = [r[2] for r in rows if r[1]]
+                raw = np.frombuffer(b"\xff".join(content + twins) + b"\xff", np.uint8) + np.uint8(suffix_sort.SHIFT)  # 0xFF wraps to the separator
+                hit = suffix_sort.repeated(np.concatenate([raw, np.zeros(1, np.uint8)]), length, folder, memory)
+                begin = np.cumsum([0, *(len(c) + 1 for c in content)])[:-1]
+                member = np.array([(m["h"], m["d"], b + m["first"], m["windows"]) for b, r in zip(begin.tolist(), rows, strict=True) for m in r[3]], np.int64)
+                of = np.searchsorted(member[:, 2], hit, "right") - 1
+                at = hit - member[of, 2]
+                inside = at < member[of, 3]  # else it is a twin, or runs over a separator into the next piece
+                of, at = of[inside], at[inside]
+                if not len(at):
+                    continue
+                head = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)])
+                tail = np.r_[head[1:], len(at)] - 1
+                yield _batch((member[of[head], 0], member[of[head], 1], at[head].astype(np.int32), at[tail].astype(np.int32)), FOUND)
 
     return run
 
@@ -249,69 +320,59 @@ def _remove(keep_bytes: bool):
     return run
 
 
-def _by_minimizer(cut: DataFrame, often: DataFrame) -> DataFrame:
-    """Stretches of minimizers with few rows: copies of each, whether it is the first of them, and the minimizer's kinds.
-
-    All is found where the join on the minimizer has put the rows.
-    """
-    same = Window.partitionBy("h", "d").orderBy("doc_id", "tag", "start")
-    met = cut.join(merged(often), "h").drop("rows")
-    met = met.withColumns({"first": F.row_number().over(same) == 1, "copies": F.count("*").over(Window.partitionBy("h", "d"))})
-    return met.withColumns({"kinds": F.sum(F.col("first").cast("int")).over(Window.partitionBy("h"))})
-
-
-def _by_counts(cut: DataFrame, often: DataFrame) -> DataFrame:
-    """The same for minimizers with any number of rows: counted by partial aggregates, joined back in splittable joins."""
-    met = settle(cut.join(merged(often), "h").drop("rows"), "busy")
-    place = F.struct("doc_id", "tag", "start")
-    distinct = met.groupBy("h", "d").agg(F.count("*").alias("copies"), F.min(place).alias("one"))
-    kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds"))
-    known = distinct.join(merged(kinds), "h")
-    return settle(met.join(merged(known), ["h", "d"]).withColumns({"first": place.eqNullSafe(F.col("one"))}).drop("one"), "counted")
+def _parts(size: int) -> int:
+    """Partitions for the sort: small ones while there are few, of a gigabyte when there is much."""
+    return max(1, min(size // (8 << 20), 4096), size >> 30)
 
 
-KEY = ["id", "no_id", "tag"]
+def _solve(places: DataFrame, contents, length: int, memory: int, step: int, hot: int) -> DataFrame:
+    """The repeated windows (o1, o2, first, last) of places (PLACE) whose key occurs more than once.
 
+    contents: gives the pieces (PIECES) of a table of classes (h, d, copied, alone, and one place).
+    """
+    one = F.struct("o1", "o2", "start", "windows", "gram")
+    counted = places.groupBy("h", "d").agg(F.count("*").alias("copies"), F.min(one).alias("one"))
+    counted = settle(counted.select("h", "d", (F.col("copies") > 1).alias("copied"), "one.*"), "counted")
+    kinds = counted.groupBy("h").agg(F.count("*").alias("kinds"), F.max("copied").alias("any"))
+    kinds = kinds.where(F.col("any") | (F.col("kinds") > 1))
+    known = settle(counted.join(merged(kinds.select("h", (F.col("kinds") > hot).alias("hot"), (F.col("kinds") == 1).alias("alone"))), "h"), "classes")
+    size, any_hot = known.agg(F.sum(F.when(~F.col("hot"), (F.col("windows") + length) * (1 + F.col("copied").cast("int")))), F.max("hot")).first()
+    plain = contents(known.where(~F.col("hot"))).repartition(_parts(size or 0), "h").sortWithinPartitions("h")
+    found = plain.select("h", "copied", "content", "members").mapInArrow(_sort_shards(length, memory), FOUND)
+    if any_hot:
+        finer = settle(contents(known.where("hot")).mapInArrow(_split(length, step), PLACE + ", content binary"), "finer")
+        inner = _solve(finer.drop("content"), _within(finer), length, memory, max(1, -(-step // FINER)), hot)
+        found = found.union(inner.select(F.col("o1").alias("h"), F.col("o2").alias("d"), "first", "last"))
+    met = places.select("h", "d", "o1", "o2", "start").join(merged(found), ["h", "d"])
+    return met.select("o1", "o2", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """Plain columns that tell documents apart, null ids too: joins and groupings on them share one partitioning."""
-    return rows.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()})
 
+def _within(finer: DataFrame):
+    """contents() of classes whose places carry their bytes."""
 
-def repeated_spans(read: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, memory: int = suffix_sort.MEMORY) -> DataFrame:
-    """Spans (doc_id, tag, start, stop) whose union is what to remove from read (doc_id, text). They may overlap.
+    def of(classes: DataFrame) -> DataFrame:
+        bytes_of = finer.groupBy("h", "d").agg(F.first("content").alias("content"))
+        member = F.struct("h", "d", F.lit(0).alias("first"), "windows")
+        return bytes_of.join(merged(classes.select("h", "d", "copied", "gram", "windows")), ["h", "d"]).select("h", "copied", "gram", "content", F.array(member).alias("members"))
 
-    packed: PACKED with KEY, made from read; the caller joins it too, and Spark writes its shuffle once for both.
-    """
-    cut = read.mapInArrow(_cut(length, gram), STRETCH)
-    often = settle(cut.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1"), "often")
-    candidates = settle(_by_minimizer(cut, often.where(F.col("rows") <= BUSY)), "candidates")
-    if (often.agg(F.max("rows")).first()[0] or 0) > BUSY:
-        candidates = candidates.unionByName(_by_counts(cut, often.where(F.col("rows") > BUSY)))
-    whole = candidates.where("copies > 1").select("doc_id", "tag", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop"))
-    wanted = candidates.where("first and kinds > 1").withColumns({"hot": F.col("kinds") > HOT})
-    size, any_hot = wanted.agg(F.sum(F.when(~F.col("hot"), F.col("windows") + length)), F.max("hot")).first()
-    of_doc = _keyed(wanted).groupBy(*KEY).agg(F.collect_list(F.struct("h", "start", "windows", "hot")).alias("wanted"))
-    # rows equal in doc_id and text hold the same stretches: one of them is enough here
-    found = packed.join(merged(of_doc), KEY).dropDuplicates(KEY)
-    stretch = found.select("doc_id", "tag", "packed", "wanted").mapInArrow(_extract(length), "h long, content binary, w1 long, w2 long, doc_id long, tag int, start long, windows int")
-
-    shards = max(1, -(-(size or 0) // SHARD_BYTES))
-    sorted_ = stretch.where("content is not null").select("h", "content", "doc_id", "tag", "start").repartition(shards, "h")
-    spans = whole.union(sorted_.mapInArrow(_sort_shard(length, memory), "doc_id long, tag int, start long, stop long"))
-    if any_hot:
-        hot = settle(stretch.where("w1 is not null").select("w1", "w2", "doc_id", "tag", "start"), "hot")
-        twice = hot.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
-        spans = spans.union(hot.join(merged(twice), ["w1", "w2"], "left_semi").select("doc_id", "tag", "start", (F.col("start") + length).alias("stop")))
-    return spans
+    return of
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memory: int = suffix_sort.MEMORY, keep_bytes: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memory: int = suffix_sort.MEMORY, keep_bytes: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_bytes kept_bytes and the removed spans."""
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = _keyed(read.mapInArrow(_shrink, PACKED))
-    spans = repeated_spans(read, packed, length, gram, memory)
-    of_doc = _keyed(spans).groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    met = packed.join(merged(of_doc), KEY, "left")
+    numbered = settle(read.mapInArrow(_number, "number long, doc_id long, packed binary"), "numbered")
+    texts = numbered.select("number", "packed")
+    cut = texts.mapInArrow(_cut(length, gram), PLACE)
+    often = settle(cut.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select("h"), "often")
+    places = settle(cut.join(merged(often), "h"), "places")
+
+    def contents(classes: DataFrame) -> DataFrame:
+        wanted = classes.groupBy(F.col("o1").alias("number")).agg(F.collect_list(F.struct("h", "d", "copied", "alone", "start", "windows", "gram")).alias("wanted"))
+        return texts.join(merged(wanted), "number").select("packed", "wanted").mapInArrow(_extract(length), PIECES)
+
+    spans = _solve(places, contents, length, memory, -(-(length - gram + 1) // FINER), hot)
+    of_doc = spans.groupBy(F.col("o1").alias("number")).agg(F.collect_list(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("stop"))).alias("spans"))
+    met = numbered.join(merged(of_doc), "number", "left")
     out = met.select("doc_id", "packed", "spans").mapInArrow(_remove(keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary, spans array<struct<start:long,stop:long>>")
     return out if keep_bytes else out.drop("kept_bytes", "spans")

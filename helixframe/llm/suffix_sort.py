@@ -203,8 +203,9 @@ def _names(text: np.ndarray, stars: np.ndarray) -> tuple[np.ndarray, int]:
     return names.astype(np.int64), len(values)
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of names in memory: ranks of doubling length, only of those still tied."""
+def _by_doubling(names: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes of names in memory, by their first most / 2 names or more, and which of them tie with the
+    one before: ranks of doubling length, only of those still tied."""
     n = len(names)
     order = np.argsort(names, kind="stable")
     v = names[order]
@@ -213,10 +214,10 @@ def _by_doubling(names: np.ndarray) -> np.ndarray:
     rank[order] = head
     step = 1
     tied = order[_shared(head)]
-    while len(tied):
+    while len(tied) and 2 * step < most:
         nxt = np.where(tied + step < n, rank[np.minimum(tied + step, n - 1)], -1)
         own = rank[tied]
-        o = np.lexsort((nxt, own))
+        o = np.argsort(own * (n + 1) + nxt + 1)
         g, v, t = own[o], nxt[o], tied[o]
         new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
         starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
@@ -226,9 +227,13 @@ def _by_doubling(names: np.ndarray) -> np.ndarray:
         rank[t] = ranks
         tied = t[_shared(ranks)]
         step *= 2
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
-    return out
+    if len(tied):
+        out = np.argsort(rank, kind="stable")
+    else:
+        out = np.empty(n, np.int64)
+        out[rank] = np.arange(n)
+    v = rank[out]
+    return out, np.r_[False, v[1:] == v[:-1]]
 
 
 def _shared(sorted_ranks: np.ndarray) -> np.ndarray:
@@ -275,21 +280,24 @@ def induced(text: np.ndarray, folder: str, memory: int = MEMORY, most: int = MOS
     s_type = _s_types(text)
     stars = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     names, kinds = _names(text, stars)
+    tie = None
     if kinds == len(stars):
         order = np.empty(len(stars), np.int64)
         order[names] = np.arange(len(stars))
     elif names.nbytes * 8 <= memory * 4:
-        order = _by_doubling(names)
+        order, tie = _by_doubling(names, most)
     else:
         # the last S*-substring is the end itself, so its name is 0 and occurs once
         order = np.concatenate([b["at"] for b in induced(names, folder, memory, most, level + 1)])[::-1]
     del names
     sorted_stars = stars[order]
-    lcps = np.zeros(len(order), np.int32)
+    lcps = np.full(len(order), most, np.int32)
+    lcps[0] = 0
     word, step = (_words(text), 8) if text.dtype == np.uint8 else (text, 1)
-    for a in range(1, len(order), SERVED):
-        z = min(len(order), a + SERVED)
-        lcps[a:z] = _common(word, step, sorted_stars[a - 1 : z - 1], sorted_stars[a:z], most)
+    told = np.arange(1, len(order)) if tie is None else np.flatnonzero(~tie[1:]) + 1
+    for a in range(0, len(told), SERVED):
+        at = told[a : a + SERVED]
+        lcps[at] = _common(word, step, sorted_stars[at - 1], sorted_stars[at], most)
     del s_type, stars, order, word
     symbols = int(text.max()) + 1
     star_symbol = text[sorted_stars]

@@ -57,26 +57,58 @@ def test_stages_keep_the_columns_and_whole_rows(spark):
     assert sorted(str(r.doc_id) for r in near_dedup.keep_first(docs).collect()) == sorted(["1", "3", "4", "5", "7", "8", "9", "10", "None", "None"])
 
 
-def test_repeated_byte_strings_of_awkward_rows(spark):
-    docs = edge.documents(spark)
-    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+def removed_by_brute_force(rows):
     count = {}
     for _, t in rows:
         for i in range(len(t) - 199):
             count[t[i : i + 200]] = count.get(t[i : i + 200], 0) + 1
-    want = []
+    out = []
     for doc_id, t in rows:
         gone = np.zeros(len(t), bool)
         for i in range(len(t) - 199):
             if count[t[i : i + 200]] > 1:
                 gone[i : i + 200] = True
         kept = bytes(np.frombuffer(t, np.uint8)[~gone])
-        want.append((str(doc_id), len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    for hot in (2048, 1):
-        suffix_dedup.HOT, old = hot, suffix_dedup.HOT
-        got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs).collect()]
-        suffix_dedup.HOT = old
-        assert sorted(got) == sorted(want)
+        out.append((str(doc_id), len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def removed(docs, **options):
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs, **options).collect())
+
+
+@pytest.mark.parametrize("hot", [2048, 1])
+def test_repeated_byte_strings_of_awkward_rows(spark, hot):
+    docs = edge.documents(spark)
+    assert removed(docs, hot=hot) == removed_by_brute_force([(r.doc_id, (r.text or "").encode()) for r in docs.collect()])
+
+
+@pytest.mark.parametrize("hot", [2048, 2])
+def test_a_passage_in_many_contexts_is_removed_from_all(spark, hot):
+    rng = random.Random(5)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = words(230)
+    rows = [(None if i % 3 == 0 else i % 5, words(rng.randint(0, 300)) + passage[rng.randint(0, 20) :] + words(rng.randint(0, 300))) for i in range(40)]
+    rows += [(7, rows[0][1]), (None, words(700)), (None, words(700)), (9, words(150) + passage[:199] + "é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(docs, hot=hot) == removed_by_brute_force([(i, t.encode()) for i, t in rows])
+
+
+def test_every_removed_span_comes_from_the_suffix_sort(spark, monkeypatch):
+    docs = edge.documents(spark)
+    assert sum(r[2] for r in removed(docs)) > 40_000
+    monkeypatch.setattr(suffix_dedup, "_sort_shards", lambda *_: lambda batches: (x for b in batches for x in ()))
+    assert sum(r[2] for r in removed(docs)) == 0
+
+
+def test_a_text_cut_into_parts_loses_no_repeat(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(600_000))
+    copied = [(0, 300), (262_000, 262_500), (524_200, 524_450), (599_500, 600_000)]
+    rows = [(1, long), *((i + 2, long[a:z]) for i, (a, z) in enumerate(copied))]
+    got = {r.doc_id: r for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.start, s.stop) for s in got[1].spans] == copied
+    assert all(got[i + 2].n_removed == z - a for i, (a, z) in enumerate(copied))
 
 
 def test_induced_suffix_order_in_memory_and_on_disk():
