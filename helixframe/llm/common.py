@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; only where that is unset (tests) one of our own."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; only where that is unset in a local session
+    (tests) one of our own: executors elsewhere couldn't read it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "helixframe-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -59,7 +62,7 @@ def keep_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def by_bytes(batches, limit: int = 16 << 20, column: str = "text"):
+def by_bytes(batches, limit: int = 4 << 20, column: str = "text"):
     """Slices of Arrow batches with about limit bytes of text each, so that long texts don't add up."""
     import numpy as np
     import pyarrow.compute as pc

@@ -67,7 +67,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    plan = mixing.assign(table(spark, sf_dir, "documents"))
+    return mixing.in_order(plan).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"), F.round("again", 9).alias("again"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,14 @@ def assign(docs: DataFrame, curriculum: tuple[Schedule, ...] = CURRICULUM, budge
     return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "tag")
 
 
+def in_order(plan: DataFrame) -> DataFrame:
+    """assign()'s rows range-sorted by training position, with two more columns: when the first copy is due (null: none
+    is), and when the second."""
+    due = lambda i: F.get(F.col("copies"), F.lit(i))["position"]
+    placed = plan.withColumns({"position": due(0), "again": due(1)})
+    return placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
 def mix(docs: DataFrame, curriculum: tuple[Schedule, ...] = CURRICULUM, budget: float = 1.5, cap: float = 2.0, seed: str = "") -> DataFrame:
     """The training stream: a row for each copy that the mix takes, with the columns of docs, range-sorted by position.
 

@@ -22,6 +22,12 @@ SELECT conv_id, count(*) AS n_turns,
 FROM esc GROUP BY conv_id
 """
 
+#: When a share of a source's demand has come: the inverse of the integral of 0.5 + t, of 1, and of 1.5 - t (which is
+#: 0.625 at t = 0.5, where the schedule has a knot).
+TIME = """CASE rank % 3 WHEN 0 THEN least(2 * {y} / (0.5 + sqrt(greatest(0.25 + 2 * {y}, 0))), 1) WHEN 1 THEN least({y}, 1)
+    ELSE CASE WHEN {y} >= 0.625 THEN 0.5 + least(2 * ({y} - 0.625) / (1 + sqrt(greatest(1 - 2 * ({y} - 0.625), 0))), 0.5)
+      ELSE least(2 * {y} / (1.5 + sqrt(greatest(2.25 - 2 * {y}, 0))), 0.5) END END"""
+
 OP9 = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size,
@@ -35,14 +41,19 @@ WITH d AS (
   SELECT *, (sum(source_size) OVER () * CAST(1.5 AS DOUBLE) - coalesce(sum(source_size * CAST(2 AS DOUBLE)) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
   FROM w WINDOW o AS (ORDER BY source_size * CAST(2 AS DOUBLE) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, least(source_size * CAST(2 AS DOUBLE), max(level) OVER () * weight) AS target FROM l
+  SELECT source, source_size, rank, least(source_size * CAST(2 AS DOUBLE), max(level) OVER () * weight) AS target FROM l
 ), p AS (
-  SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT d.*, source_size, target, rank, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, least(greatest(floor(target) - before, 0), size) AS one, least(greatest(floor(target) - source_size - before, 0), size) AS two,
+    least(before / greatest(target, 1e-300), CAST(1 AS DOUBLE)) AS y1, least((before + source_size) / greatest(target, 1e-300), CAST(1 AS DOUBLE)) AS y2
+  FROM p
+), due AS (
+  SELECT *, CASE WHEN one > 0 THEN {TIME.format(y="y1")} END AS t1, CASE WHEN two > 0 THEN {TIME.format(y="y2")} END AS t2 FROM c
 )
-SELECT doc_id, size, source_size, target,
-  CAST(least(greatest(floor(target) - before, 0), size) + least(greatest(floor(target) - source_size - before, 0), size) AS BIGINT) AS taken
-FROM p
+SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken, round(coalesce(t1, t2), 9) AS position, CASE WHEN one > 0 THEN round(t2, 9) END AS again
+FROM due
 """
 
 OP10 = rf"""

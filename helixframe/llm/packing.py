@@ -30,7 +30,7 @@ from helixframe.llm.common import by_bytes, settle
 WINDOW = 4096
 OPEN_WINDOWS = 16
 MERGED = 64
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 150_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Texts of these characters only are cut at white space and looked up word by word; others go through the tokenizer whole.
@@ -153,7 +153,7 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int = 2, window: int = WINDOW
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         tokenizer, windows = WordTokenizer(vocab_path), Windows(part << 32, window, open_windows)
-        for batch in by_bytes(batches, 4 << 20):
+        for batch in by_bytes(batches, 1 << 20):
             done = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 done += windows.put(doc_id, ids + end, 0, len(ids) // 4 + 1)
