@@ -2,6 +2,8 @@
 
 A fixed public vocabulary gives the pieces; each language has its own probability for every piece. The likelihood of a
 word is the sum over all ways to cut it into pieces, by the forward algorithm; a text's is the product over its words.
+Words and pieces are whole, whatever their length: the recursion carries the last few sums alone, and their scale as a
+logarithm, so long words neither underflow nor take memory.
 Piece probabilities are fitted by expectation maximisation (forward-backward) on counted words of labelled documents.
 
 The fit uses at most DOCS_PER_LANG documents a language, chosen by a hash of doc_id: the word table is then bounded
@@ -28,10 +30,9 @@ from helixframe.llm.common import by_bytes
 
 DOCS_PER_LANG = 4000
 ROUNDS = 3
-LONGEST_PIECE = 8
-#: Words are cut into stretches of so many characters; a piece never spans two.
-STRETCH = 24
 KNOWN_WORDS = 400_000
+#: Characters of words that a task keeps, and that one call of the recursion takes (a longer word is one alone).
+KNOWN_CHARS, PART = 16 << 20, 1 << 15
 _LETTER = re.compile(r"[^\W\d_]")
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
@@ -42,14 +43,13 @@ def vocabulary(path: str) -> dict[str, int]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return {p: i for i, p in enumerate(sorted({p for p in pieces if p == p.lower() and len(p) <= LONGEST_PIECE and _LETTER.search(p)}), 1)}
+    return {p: i for i, p in enumerate(sorted({p for p in pieces if p == p.lower() and _LETTER.search(p)}), 1)}
 
 
-def stretches(token: str) -> list[str]:
-    """A lower-case token without its edges' digits and marks, led by a word mark, in stretches."""
+def word_of(token: str) -> str:
+    """A lower-case token without its edges' digits and marks, led by a word mark; empty if nothing is left."""
     word = _EDGES.sub("", token)
-    word = "▁" + word if word else ""
-    return [word[i : i + STRETCH] for i in range(0, len(word), STRETCH)]
+    return "▁" + word if word else ""
 
 
 class Pieces:
@@ -58,7 +58,7 @@ class Pieces:
     BITS = 20
 
     def __init__(self, vocab: dict[str, int]):
-        self.size = len(vocab) + 1
+        self.size, self.longest = len(vocab) + 1, max(map(len, vocab), default=1)
         self.keys, self.rows = np.zeros((2, 1 << self.BITS), np.uint64), np.full((2, 1 << self.BITS), -1, np.int32)
         rest = list(vocab.items())
         for t in range(2):
@@ -88,7 +88,7 @@ class Pieces:
         """[word, i, k]: the row of the piece of k + 1 characters at i (-1: none). All words are of one length."""
         n = len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
-        out = np.full((len(words), n, min(n, LONGEST_PIECE)), -1, np.int32)
+        out = np.full((len(words), n, min(n, self.longest)), -1, np.int32)
         keys = np.zeros((len(words), n + 1), np.uint64)
         for k in range(out.shape[2]):
             keys = keys[:, : n - k] * np.uint64(0x9E3779B97F4A7C15) + codes[:, k:]
@@ -108,31 +108,70 @@ def by_length(words: list[str]) -> Iterator[np.ndarray]:
     size = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(size, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
-        for a in range(0, len(part), 4096):
-            yield part[a : a + 4096]
+        step = max(1, PART // int(size[part[0]]))
+        for a in range(0, len(part), step):
+            yield part[a : a + step]
+
+
+def ending(ids: np.ndarray) -> np.ndarray:
+    """ids [word, start, k] by the place where the piece ends: [end, k, word]; -1 where it would start before the word."""
+    w, n, longest = ids.shape
+    out = np.full((n, longest, w), -1, ids.dtype)
+    for k in range(longest):
+        out[k:, k] = ids[:, : n - k, k].T
+    return out
+
+
+def _scaled(window: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The window with its largest sum as 1, and the logarithm of what it was divided by added to logs."""
+    most = np.maximum(window.max(0), 1e-290)
+    logs += np.log(most)
+    return window / most
 
 
 def forward(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Probability of each word in each language, over all segmentations. table's last row is 0."""
-    n = ids.shape[1]
-    alpha = np.zeros((n + 1, len(ids), table.shape[1]))
+    """log P of each word in each language, over all segmentations. table's last row is 0."""
+    ends = ending(ids)
+    n, longest, w = ends.shape
+    window, logs = np.zeros((longest, w, table.shape[1])), np.zeros((w, table.shape[1]))
+    window[0] = 1  # window[k]: the sum up to k characters before this one
+    for i in range(n):
+        total = np.einsum("kwl,kwl->wl", window[: i + 1], table[ends[i, : i + 1]])
+        window[1:] = window[:-1].copy()
+        window[0] = total
+        if i % 8 == 7:
+            window = _scaled(window, logs)
+    return np.log(np.maximum(window[0], 1e-290)) + logs
+
+
+def sums(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For p [end, k, word], the piece probabilities of one language a word: the sums up to each place [place, word], and
+    the logarithms of their scales."""
+    n, longest, w = p.shape
+    alpha, logs, now = np.zeros((n + 1, w)), np.zeros((n + 1, w)), np.zeros(w)
     alpha[0] = 1
     for i in range(n):
-        for k in range(min(ids.shape[2], n - i)):
-            alpha[i + k + 1] += alpha[i] * table[ids[:, i, k]]
-    return alpha[n]
+        first = max(0, i + 1 - longest)
+        alpha[i + 1] = np.einsum("kw,kw->w", alpha[first : i + 1][::-1], p[i, : i + 1 - first])
+        logs[i + 1] = now
+        if i % 8 == 7:
+            old = now.copy()
+            alpha[first : i + 2] = _scaled(alpha[first : i + 2], now)
+            logs[first : i + 2] += now - old
+    return alpha, logs
 
 
 def likelihoods(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
-    """log P(word | language) by forward algorithm, for distinct stretches."""
+    """log P(word | language) by the forward algorithm, for distinct words."""
     out = np.zeros((len(words), table.shape[1]))
     for some in by_length(words) if words else ():
-        out[some] = np.log(np.maximum(forward(pieces.find([words[i] for i in some]), table), 1e-290))
+        out[some] = forward(pieces.find([words[i] for i in some]), table)
     return out
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
+    held = 0
 
     def out() -> pa.RecordBatch:
         keys = list(counts)
@@ -141,11 +180,13 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for token, n in Counter((text or "").lower().split()).items():
-                for s in stretches(token):
-                    counts[lang, s] += n
-        if len(counts) > KNOWN_WORDS:
+                if word := word_of(token):
+                    counts[lang, word] += n
+                    held += len(word)
+        if len(counts) > KNOWN_WORDS or held > KNOWN_CHARS:
             yield out()
             counts.clear()
+            held = 0
     if counts:
         yield out()
 
@@ -163,23 +204,21 @@ def _expected(langs: list[str], vocab: dict[str, int], table: np.ndarray):
             lang = np.array([place[x] for x in batch.column("lang").to_pylist()])
             words, count = batch.column("word").to_pylist(), batch.column("n").to_numpy()
             for some in by_length(words):
-                ids, own = pieces.find([words[i] for i in some]), lang[some]
-                n, longest = ids.shape[1:]
-                p = table[ids, own[:, None, None]]
-                alpha, beta = np.zeros((n + 1, len(some))), np.zeros((n + longest + 1, len(some)))
-                alpha[0] = beta[n] = 1
-                for i in range(n):
-                    for k in range(min(longest, n - i)):
-                        alpha[i + k + 1] += alpha[i] * p[:, i, k]
-                for i in range(n - 1, -1, -1):
-                    for k in range(min(longest, n - i)):
-                        beta[i] += p[:, i, k] * beta[i + k + 1]
-                scale = count[some] / np.maximum(alpha[n], 1e-290)
-                for i in range(n):
-                    for k in range(min(longest, n - i)):
-                        use = alpha[i] * p[:, i, k] * beta[i + k + 1] * scale
-                        there = np.flatnonzero(ids[:, i, k] >= 0)
-                        total += np.bincount(ids[there, i, k] * len(langs) + own[there], use[there], len(total))
+                ends, own = ending(pieces.find([words[i] for i in some])), lang[some]
+                n, longest, _ = ends.shape
+                p = table[ends, own]
+                alpha, before = sums(p)
+                # the same recursion from the other end: a piece that ends at i starts at i - k
+                back = np.zeros_like(p)
+                for k in range(longest):
+                    back[k:, k] = p[::-1, k][: n - k]
+                beta, after = sums(back)
+                whole = np.log(np.maximum(alpha[n], 1e-290)) + before[n]
+                for k in range(min(longest, n)):
+                    i = np.arange(k, n)
+                    use = alpha[i - k] * p[k:, k] * beta[n - 1 - i] * np.exp(before[i - k] + after[n - 1 - i] - whole) * count[some]
+                    there = ends[k:, k] >= 0
+                    total += np.bincount((ends[k:, k].astype(np.int64) * len(langs) + own)[there], use[there], len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at // len(langs), pa.int64()), pa.array(at % len(langs), pa.int64()), pa.array(total[at], pa.float64())], ["piece", "lang", "uses"])
 
@@ -222,24 +261,22 @@ class _Known(dict):
 
     def __init__(self):
         self.new: list[str] = []
+        self.chars = 0
 
     def __missing__(self, token: str) -> int:
         at = self[token] = len(self)
         self.new.append(token)
+        self.chars += len(token)
         return at
 
 
 def _token_logs(tokens: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
-    """log P(token | language): the sum over its stretches."""
-    parts = [stretches(t) for t in tokens]
-    flat = list(dict.fromkeys(s for p in parts for s in p))
+    """log P(token | language); a token without a word says nothing."""
+    words = [word_of(t) for t in tokens]
+    flat = list(dict.fromkeys(filter(None, words)))
     row = dict(zip(flat, range(len(flat)), strict=True))
     of = np.vstack([likelihoods(flat, pieces, table), np.zeros(table.shape[1])])
-    out = of[[row[p[0]] if p else len(flat) for p in parts]]
-    for i, p in enumerate(parts):
-        for s in p[1:]:
-            out[i] += of[row[s]]
-    return out
+    return of[[row[w] if w else len(flat) for w in words]]
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: str) -> DataFrame:
@@ -254,7 +291,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: st
         for batch in by_bytes(batches, 4 << 20):
             texts = batch.column("text").to_pylist()
             tokens = [(t or "").lower().split() for t in texts]
-            if len(known) > KNOWN_WORDS:
+            if len(known) > KNOWN_WORDS or known.chars > KNOWN_CHARS:
                 known, logs = _Known(), logs[:0]
             sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
             at = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(tokens)), np.int64, int(sizes.sum()))

@@ -1,11 +1,14 @@
 """Operators on awkward rows, and on small inputs against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import tempfile
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,18 +247,42 @@ def test_forward_algorithm_sums_all_segmentations():
     pieces, rng = langid.Pieces(known), np.random.default_rng(0)
     table = np.vstack([rng.random((len(known) + 1, 3)) * 0.1, np.zeros(3)])
 
-    def brute(word):
-        if not word:
-            return np.ones(3)
-        out = np.zeros(3)
-        for k in range(1, min(len(word), langid.LONGEST_PIECE) + 1):
-            row = known.get(word[:k], 0 if k == 1 else None)
-            if row is not None:
-                out += table[row] * brute(word[k:])
+    def plain(word, t):
+        """Sums over prefixes, as exact fractions."""
+        out = [[Fraction(1)] * t.shape[1]]
+        for end in range(1, len(word) + 1):
+            now = [Fraction(0)] * t.shape[1]
+            for k in range(1, min(end, pieces.longest) + 1):
+                row = known.get(word[end - k : end], 0 if k == 1 else None)
+                if row is not None:
+                    now = [n + Fraction(float(x)) * p for n, x, p in zip(now, t[row], out[end - k], strict=True)]
+            out.append(now)
         return out
 
-    words = ["▁thention", "▁a", "▁éauqueöñ", "中文字", "ing"]
-    assert np.allclose(np.exp(langid.likelihoods(words, pieces, table)), [brute(w) for w in words])
+    def log(x):
+        return math.log(x.numerator) - math.log(x.denominator)
+
+    assert pieces.longest == max(map(len, known)) > 8
+    words = ["▁thention", "▁a", "▁éauqueöñ", "中文字", "ing", "▁" + "verantwortlichkeiten" * 5]
+    got = langid.likelihoods(words, pieces, table)
+    assert np.allclose(got, [[log(x) for x in plain(w, table)[-1]] for w in words])
+    # expected uses: the derivative of the logarithm of the sum, against small steps of one probability
+    word, langs = "▁thentionverantwortlichkeiten", ["a", "b", "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["b"]), pa.array([word]), pa.array([2])], ["lang", "word", "n"])
+    uses = {r["piece"]: r["uses"] for out in langid._expected(langs, known, table)([batch]) for r in out.to_pylist() if r["uses"] > 1e-12}
+    for piece, n in list(uses.items())[:12]:
+        more = table.copy()
+        more[piece] *= 1 + 1e-7
+        step = float(plain(word, more)[-1][1] / plain(word, table)[-1][1] - 1)
+        assert math.isclose(n, 2 * step / 1e-7, rel_tol=1e-4)
+
+
+def test_a_token_of_any_length_is_scored():
+    known = langid.vocabulary(vocab("piece_bpe_32k.model"))
+    pieces = langid.Pieces(known)
+    table = langid._table(np.ones((len(known) + 1, 2)))
+    got = langid.likelihoods(["▁" + "ab" * 50_000, "▁ab"], pieces, table)
+    assert np.isfinite(got).all() and got[0, 0] < 1000 * got[1, 0]
 
 
 def test_awkward_vectors(spark):
