@@ -14,9 +14,13 @@ cost one comparison a member. Large buckets are split into blocks of BLOCK rows
 With 32 bands of 6, two texts of similarity 0.8 share no bucket with a chance of 6e-5 (0.9: 6e-11); MISS adds at most
 about 1e-6 for each of the six batches.
 
-Defined results: a null text, or one without words, has an empty set, is linked with nothing and kept; a null doc_id
-takes its class's component and isn't kept; repeated rows of a doc_id share a component and are all kept if it is the
-smallest; an empty table gives an empty table; extra columns are ignored.
+A class is told by a number that is written with it; doc_id appears in the result alone, so rows that share one with
+different texts, or have none, lose no link.
+
+Defined results: a null text, or one without words, has an empty set, is linked with nothing and kept; a row without a
+doc_id links like any other, takes the smallest doc_id it reaches (null if there is none) and isn't kept by `cluster`;
+rows of one doc_id are one document, so their texts' components are one there; repeated rows of a doc_id are all kept if
+it is the smallest; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import by_bytes, merged, settle
+from helixframe.llm.common import WORD_CLASS, by_bytes, merged, settle
 from helixframe.llm.components import components
 from helixframe.llm.shingles import MinHash, _coefficients, _mix, shingle_sets
 
@@ -62,7 +66,7 @@ def surviving(a: np.ndarray, b: np.ndarray, threshold: float, miss: float = MISS
 
 
 def _sign(words: int, size: int):
-    """doc_id, set size, digest of the set, signature."""
+    """doc_id, key of the text, set size, digest of the set, signature."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +75,7 @@ def _sign(words: int, size: int):
             sets = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], words)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             signs = [minhash(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "digest", "sign"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "key", "n_shingles", "digest", "sign"])
 
     return run
 
@@ -206,7 +210,7 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     z = zstandard.ZstdCompressor(level=1)
     for batch in by_bytes(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([z.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["node", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([z.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "key", "packed"])
 
 
 def _verify(words: int, percent: int):
@@ -230,24 +234,38 @@ def _verify(words: int, percent: int):
     return run
 
 
-def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+#: What tells rows apart: doc_id (two plain columns, for a null) and a digest of the text.
+ROW = ["no_id", "id", "key"]
+
+
+def _identified(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0))})
+
+
+def _key(text: str = "text"):
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+
+
+def _linked(docs: DataFrame, words: int, percent: int, bands: int, rows: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs (doc_id, n_shingles, digest), and classes (digest, node, label, one): label is the smallest node that
+    links reach, one the least row (ROW) of the class."""
     threshold = percent / 100
-    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = settle(read.mapInArrow(_sign(words, bands * rows), "doc_id long, n_shingles long, digest binary, sign binary"), "signed")
-    first = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "sign")).alias("first"))
-    classes = settle(first.select("digest", F.col("first.doc_id").alias("node"), F.col("first.sign").alias("sign")), "classes")
+    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), _key().alias("key"))
+    signed = settle(read.mapInArrow(_sign(words, bands * rows), "doc_id long, key binary, n_shingles long, digest binary, sign binary"), "signed")
+    first = _identified(signed.where("digest is not null")).groupBy("digest").agg(F.min(F.struct(*ROW)).alias("one"), F.min("sign").alias("sign"))
+    classes = settle(first.withColumns({"node": F.monotonically_increasing_id()}), "classes")
     signs = classes.select("node", "sign")
 
     in_band = signs.mapInArrow(_bands(bands, rows), "bucket long, band int, node long")
     buckets = in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
     members = settle(in_band.join(merged(buckets), "bucket"), "members")
 
-    texts = read.mapInArrow(_shrink, "node long, packed binary")
+    texts = _identified(read.mapInArrow(_shrink, "doc_id long, key binary, packed binary")).drop("doc_id")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """One text for each node that is asked for."""
-        return settle(texts.join(merged(wanted.distinct()), "node", "left_semi").dropDuplicates(["node"]), "texts")
+        one = classes.select("node", "one.*").join(merged(wanted.distinct()), "node")
+        return settle(texts.join(merged(one), ROW).dropDuplicates(["node"]).select("node", "packed"), "texts")
 
     def sign_as(name: str) -> DataFrame:
         return merged(signs.select(F.col("node").alias(name), F.col("sign").alias(f"sign_{name}")))
@@ -276,18 +294,41 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands:
         if not more.isEmpty():
             stars_now = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             labels = components(stars_now.union(more))
-    of_class = classes.select("digest", "node").join(merged(labels), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(merged(of_class), "digest", "left")
+    of_class = classes.select("digest", "node", "one").join(merged(labels), "node", "left")
+    return signed.select("doc_id", "n_shingles", "digest"), settle(of_class.select("digest", "node", F.coalesce("component", "node").alias("label"), "one"), "of_class")
+
+
+def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    signed, classes = _linked(docs, words, percent, bands, rows, miss)
+    of_id = signed.where("doc_id is not null and digest is not null").groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+    shared = of_id.where("least <> most").select("doc_id")
+    if not shared.isEmpty():
+        label = merged(classes.select("digest", "label"))
+        of_row = signed.join(merged(shared), "doc_id").join(label, "digest").select("doc_id", "label").distinct()
+        same = of_row.join(merged(of_row.groupBy("doc_id").agg(F.min("label").alias("b"))), "doc_id").select(F.col("label").alias("a"), "b")
+        wider = components(same).select(F.col("node").alias("label"), "component")
+        classes = classes.join(merged(wider), "label", "left").select("digest", F.coalesce("component", "label").alias("label"), "one")
+    least = classes.where(~F.col("one.no_id")).groupBy("label").agg(F.min("one.id").alias("component"))
+    of_class = classes.join(merged(least), "label", "left").select("digest", "component")
+    out = signed.join(merged(of_class), "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pipeline's stage: one document of each group stays, that with the smallest doc_id; of rows that share it, one.
+    """The pipeline's stage: one document of each group of linked texts stays, that with the smallest doc_id (then text);
+    of rows equal in both, one. Texts without words are linked with nothing, and all stay.
 
-    Documents without a doc_id can't be told apart and pass.
+    Rows that share a doc_id stay if their texts aren't linked. Of a group without a doc_id one row stays.
     """
     names = docs.columns
-    kept = cluster(docs, words, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    held = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return held.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in names])
+    _, classes = _linked(docs, words, percent, BANDS, ROWS, MISS)
+    winners = classes.groupBy("label").agg(F.min("one").alias("one")).select(*[F.col(f"one.{c}").alias(f"__{c}") for c in ROW])
+    id_ = F.col("doc_id").cast("bigint")
+    # a row without words has no class; its like are told by that there is nothing but white space
+    wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD_CLASS)
+    keyed = docs.where(~wordless).withColumns({"__no_id": id_.isNull(), "__id": F.coalesce(id_, F.lit(0)), "__key": _key()})
+    held = keyed.join(merged(winners), [f"__{c}" for c in ROW], "left_semi").dropDuplicates([f"__{c}" for c in ROW])
+    columns = [F.col(f"`{c}`") for c in names]
+    return held.select(*columns).unionByName(docs.where(wordless).select(*columns))

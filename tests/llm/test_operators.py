@@ -132,6 +132,17 @@ def test_induced_suffix_order_in_memory_and_on_disk():
                 assert got["lcp"][k] == n
 
 
+def test_rows_that_share_a_doc_id_lose_no_link_and_no_text(spark):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    w, v = words("w"), words("v")
+    rows = [(1, w), (1, v), (2, w + " more"), (3, v + " more"), (None, w + " again"), (None, words("n")), (None, words("n")), (5, words("x")), (5, words("y")), (4, words("y")), (6, ""), (6, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.cluster(docs).collect())
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (0, 1, False), (0, 0, False), (0, 0, False), (5, 4, False), (5, 4, False), (4, 4, True), (6, 6, True), (6, 6, True)])
+    kept = sorted((r.doc_id or 0, r.text) for r in near_dedup.keep_first(docs).collect())
+    assert kept == sorted([(1, w), (1, v), (0, words("n")), (5, words("x")), (4, words("y")), (6, ""), (6, " ")])
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(400)]
