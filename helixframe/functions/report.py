@@ -48,9 +48,15 @@ def floored(x: Column, digits: int) -> Column:
     return F.floor(x * 10**digits) / 10**digits
 
 
+def plain(x: Column) -> Column:
+    """A number of up to three decimals without an exponent, with one decimal at least."""
+    text = F.regexp_replace(F.format_string("%.3f", x), "0+$", "")
+    return F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text)
+
+
 def label(name: Column, relative: Column) -> Column:
     """name;score% with the relative score floored to three decimals; name;? without one. F20."""
-    return F.when(relative.isNull(), F.concat(name, F.lit(";?"))).otherwise(F.concat(name, F.lit(";"), floored(relative, 3).cast("string"), F.lit("%")))
+    return F.when(relative.isNull(), F.concat(name, F.lit(";?"))).otherwise(F.concat(name, F.lit(";"), plain(floored(relative, 3)), F.lit("%")))
 
 
 def motif_string(up: Column, five: Column, bp: Column, bp_u2: Column, three: Column, down: Column) -> Column:

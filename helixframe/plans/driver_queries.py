@@ -139,48 +139,52 @@ def topk_with_pct(spark, d):
     return relational.top_share(table(spark, d, "events"), "event_type", 5).withColumns({"pct": F.col("pct").cast("double")})
 
 
-HEAD = "lower(regexp_replace(text, '[^A-Za-z ]', '', 'g'))"
-MATRIX_SQL = f"""h AS (SELECT lang, substr({HEAD}, 1, 12) AS s FROM documents),
-z AS (SELECT lang, count(*) AS n, least(min(length(s)), 12) AS shortest FROM h GROUP BY 1),
-c AS (SELECT lang, p AS pos, substr(s, p + 1, 1) AS base, count(*) AS hits FROM (SELECT lang, s, unnest(range(0, length(s))) AS p FROM h) GROUP BY 1, 2, 3),
-l AS (SELECT DISTINCT lang, base FROM c UNION SELECT lang, unnest(['a', 'e', 'n', ' ']) FROM z),
-m AS (SELECT z.lang, p.pos, l.base, coalesce(c.hits, 0) / z.n AS freq FROM (SELECT lang, unnest(range(0, shortest)) AS pos FROM z) p JOIN z ON z.lang = p.lang JOIN l ON l.lang = p.lang LEFT JOIN c ON c.lang = p.lang AND c.pos = p.pos AND c.base = l.base)"""
+BASES = ("a", "e", "n", " ")
 
 
-def _heads(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang", F.substring(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), 1, 12).alias("s"))
+def _matrix_sql(source: str, p: str = "") -> str:
+    """Named queries z (a row a key), c, l and m (the matrix) over source (k, s); names begin with p."""
+    return f"""{p}h AS ({source}),
+{p}z AS (SELECT k, count(*) AS n, min(length(s)) AS shortest FROM {p}h GROUP BY 1),
+{p}c AS (SELECT k, p AS pos, substr(s, p + 1, 1) AS base, count(*) AS hits FROM (SELECT k, s, unnest(range(0, length(s))) AS p FROM {p}h) GROUP BY 1, 2, 3),
+{p}l AS (SELECT DISTINCT k, base FROM {p}c UNION SELECT k, unnest(['a', 'e', 'n', ' ']) FROM {p}z),
+{p}m AS (SELECT z.k, p.pos, l.base, coalesce(c.hits, 0) / z.n AS freq FROM (SELECT k, unnest(range(0, shortest)) AS pos FROM {p}z) p JOIN {p}z z ON z.k = p.k JOIN {p}l l ON l.k = p.k LEFT JOIN {p}c c ON c.k = p.k AND c.pos = p.pos AND c.base = l.base)"""
+
+
+MATRIX_SQL = _matrix_sql("SELECT p_type AS k, p_name AS s FROM part")
 
 
 def _matrix(spark, d):
-    return matrices.letter_matrix(_heads(spark, d).select("lang", "s"), ["lang"], "s", 0, 12, ("a", "e", "n", " "))
+    """Letters by place over the whole names of each type of part."""
+    return matrices.letter_matrix(table(spark, d, "part").select("p_type", "p_name"), ["p_type"], "p_name", alphabet=BASES)
 
 
-@query(f"WITH {MATRIX_SQL} SELECT lang, CAST(pos AS INTEGER) AS pos, base, freq FROM m")
+@query(f"WITH {MATRIX_SQL} SELECT k AS p_type, CAST(pos AS INTEGER) AS pos, base, freq FROM m")
 def pwm_build(spark, d):
     return _matrix(spark, d)
 
 
 @query(f"""WITH {MATRIX_SQL},
-x AS (SELECT doc_id, lang AS own, substr({HEAD}, 1, 12) AS s FROM documents),
-sc AS (SELECT doc_id, own, k.lang, sum(log2(coalesce(m.freq, 0) + 0.0001)) AS score FROM (SELECT doc_id, own, s, unnest(range(0, length(s))) AS p FROM x) t CROSS JOIN (SELECT DISTINCT lang FROM z) k
-  LEFT JOIN m ON m.lang = k.lang AND m.pos = t.p AND m.base = substr(t.s, t.p + 1, 1) GROUP BY 1, 2, 3)
-SELECT doc_id, own AS lang, round(max(score) FILTER (lang = 'en') - max(score) FILTER (lang = 'fr'), 4) AS log_ratio FROM sc GROUP BY 1, 2""")
+x AS (SELECT p_partkey, p_name AS s FROM part),
+sc AS (SELECT p_partkey, g.k, sum(log2(coalesce(m.freq, 0) + 0.0001)) AS score FROM (SELECT p_partkey, s, unnest(range(0, length(s))) AS p FROM x) t CROSS JOIN (SELECT k FROM z WHERE k IN ('ECONOMY', 'PROMO')) g
+  LEFT JOIN m ON m.k = g.k AND m.pos = t.p AND m.base = substr(t.s, t.p + 1, 1) GROUP BY 1, 2)
+SELECT p_partkey, round(max(score) FILTER (k = 'ECONOMY') - max(score) FILTER (k = 'PROMO'), 4) AS log_ratio FROM sc GROUP BY 1""")
 def pwm_score(spark, d):
-    cells = matrices.as_map(matrices.add_pseudocount(_matrix(spark, d)), ["lang"])
-    known = {r["lang"]: r["cells"] for r in cells.collect()}  # a matrix for each language: a few hundred numbers
-    of = lambda x: F.map_from_arrays(F.array(*map(F.lit, known[x])), F.array(*map(F.lit, known[x].values())))
-    heads = _heads(spark, d).where("s <> ''")
-    ratio = matrices.log_ratio(matrices.product_score(F.col("s"), of("en"), 0), matrices.product_score(F.col("s"), of("fr"), 0))
-    return heads.select("doc_id", "lang", F.round(ratio, 4).alias("log_ratio"))
+    cells = matrices.as_map(matrices.add_pseudocount(_matrix(spark, d)), ["p_type"])
+    of = lambda kind, name: F.broadcast(cells.where(F.col("p_type") == kind).select(F.col("cells").alias(name)))  # noqa: E731  # one matrix
+    names = table(spark, d, "part").select("p_partkey", "p_name").where("p_name <> ''")
+    met = names.crossJoin(of("ECONOMY", "a")).crossJoin(of("PROMO", "b"))
+    score = lambda m: matrices.product_score(F.col("p_name"), F.col(m), 0)
+    return met.select("p_partkey", F.round(matrices.log_ratio(score("a"), score("b")), 4).alias("log_ratio"))
 
 
 @query("""WITH w AS (SELECT p_partkey, i, substr(p_name, i + 1, 4) AS k FROM (SELECT p_partkey, p_name, unnest(range(0, length(p_name) - 3)) AS i FROM part WHERE length(p_name) >= 4)),
 s AS (SELECT *, length(regexp_replace(k, '[^aeiou]', '', 'g')) AS score FROM w)
 SELECT p_partkey, CAST(max(score) AS BIGINT) AS score, CAST(arg_min(i, -score * 1000 + i) AS BIGINT) AS start, arg_min(k, -score * 1000 + i) AS seq FROM s GROUP BY 1""")
 def kmer_windows(spark, d):
-    vowels = F.transform(dna.kmers(F.col("p_name"), 4), lambda k, i: F.struct(F.length(F.regexp_replace(k, "[^aeiou]", "")).alias("score"), (-i).alias("left"), k.alias("seq")))
-    best = table(spark, d, "part").select("p_partkey", F.array_max(vowels).alias("b")).where("b is not null")
-    return best.select("p_partkey", F.col("b.score").cast("bigint").alias("score"), (-F.col("b.left")).cast("bigint").alias("start"), F.col("b.seq").alias("seq"))
+    vowels = F.create_map(*[F.lit(x) for place in range(4) for c in "aeiou" for x in (f"{place}|{c}", 2.0)])
+    best = table(spark, d, "part").select("p_partkey", matrices.best_window(F.col("p_name"), vowels, 4, 1.0).alias("b")).where("b is not null")
+    return best.select("p_partkey", F.round(F.log2("b.score")).cast("bigint").alias("score"), F.col("b.start").cast("bigint").alias("start"), F.col("b.seq").alias("seq"))
 
 
 @query(f"SELECT p_partkey, reverse(translate(upper(p_name), '{dna.CODES}', '{dna.COMPLEMENTS}')) AS rc FROM part")
@@ -229,37 +233,30 @@ def gmean_group(spark, d):
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(relational.geometric_mean(F.col("o_totalprice")), 4).alias("gmean"), F.count("*").alias("n"))
 
 
-def _by_flag(spark, d, lang_filter):
-    return matrices.letter_matrix(_heads(spark, d).where(lang_filter).select("lang", "s"), ["lang"], "s", 0, 12, ("a", "e", "n", " "))
-
-
-def _named_matrix(condition: str, p: str) -> str:
-    return MATRIX_SQL.replace("FROM documents)", f"FROM documents WHERE {condition})", 1).replace("h AS", f"{p}h AS", 1).replace("FROM h", f"FROM {p}h").replace("z AS (", f"{p}z AS (", 1).replace("c AS (", f"{p}c AS (", 1).replace("l AS (", f"{p}l AS (", 1).replace("m AS (", f"{p}m AS (", 1).replace("FROM z)", f"FROM {p}z)").replace("JOIN z ON", f"JOIN {p}z z ON").replace("JOIN l ON", f"JOIN {p}l l ON").replace("LEFT JOIN c ON", f"LEFT JOIN {p}c c ON").replace("FROM c ", f"FROM {p}c ").replace("FROM z ", f"FROM {p}z ")
-
-
-@query(f"""WITH {_named_matrix("doc_id % 2 = 0", "a")}, {_named_matrix("doc_id % 2 = 1 AND lang <> 'es'", "b")}
-SELECT am.lang, CAST(am.pos AS INTEGER) AS pos, am.base, round(CASE WHEN am.lang IN (SELECT lang FROM bm) THEN (am.freq + bm.freq) / 2 ELSE am.freq END, 10) AS freq
-FROM am LEFT JOIN bm ON bm.lang = am.lang AND bm.pos = am.pos AND bm.base = am.base WHERE bm.freq IS NOT NULL OR am.lang NOT IN (SELECT lang FROM bm)""")
+@query(f"""WITH {_matrix_sql("SELECT c_nationkey AS k, c_mktsegment AS s FROM customer", "a")}, {_matrix_sql("SELECT s_nationkey AS k, upper(s_name) AS s FROM supplier", "b")}
+SELECT am.k AS nation, CAST(am.pos AS INTEGER) AS pos, am.base, round(CASE WHEN am.k IN (SELECT k FROM bm) THEN (am.freq + bm.freq) / 2 ELSE am.freq END, 10) AS freq
+FROM am LEFT JOIN bm ON bm.k = am.k AND bm.pos = am.pos AND bm.base = am.base WHERE bm.freq IS NOT NULL OR am.k NOT IN (SELECT k FROM bm)""")
 def avg_matrices(spark, d):
-    a, b = _by_flag(spark, d, "doc_id % 2 = 0"), _by_flag(spark, d, "doc_id % 2 = 1 and lang <> 'es'")
-    return matrices.average(a, b, ["lang"]).withColumns({"freq": F.round("freq", 10)})
+    of = lambda t, k, x: matrices.letter_matrix(table(spark, d, t).select(F.col(k).alias("nation"), x.alias("s")), ["nation"], "s", alphabet=BASES)
+    both = matrices.average(of("customer", "c_nationkey", F.col("c_mktsegment")), of("supplier", "s_nationkey", F.upper("s_name")), ["nation"])
+    return both.withColumns({"freq": F.round("freq", 10)})
 
 
-@query(f"WITH {MATRIX_SQL} SELECT lang, CAST(pos AS INTEGER) AS pos, max(freq) AS most, min(freq) AS least FROM m GROUP BY 1, 2")
+@query(f"WITH {MATRIX_SQL} SELECT k AS p_type, CAST(pos AS INTEGER) AS pos, max(freq) AS most, min(freq) AS least FROM m GROUP BY 1, 2")
 def matrix_bounds(spark, d):
-    return matrices.bounds(_matrix(spark, d), ["lang"])
+    return matrices.bounds(_matrix(spark, d), ["p_type"])
 
 
-@query(f"WITH {MATRIX_SQL} SELECT lang, min(n) AS length FROM (SELECT lang, base, count(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1")
+@query(f"WITH {MATRIX_SQL} SELECT k AS p_type, min(n) AS length FROM (SELECT k, base, count(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1")
 def matrix_length(spark, d):
-    return matrices.length(_matrix(spark, d), ["lang"])
+    return matrices.length(_matrix(spark, d), ["p_type"])
 
 
 @query(f"""WITH {MATRIX_SQL}
-SELECT lang, CAST(pos AS BIGINT) AS line, string_agg(printf('%.4f', freq), chr(9) ORDER BY base) AS value FROM m WHERE base IN ('a', 'e', 'n') GROUP BY 1, 2
-UNION ALL SELECT lang, -2, '>' || lang || chr(9) || 'start=0' FROM z WHERE shortest > 0 UNION ALL SELECT lang, -1, 'a' || chr(9) || 'e' || chr(9) || 'n' FROM z WHERE shortest > 0""")
+SELECT k AS p_type, CAST(pos AS BIGINT) AS line, string_agg(printf('%.4f', freq), chr(9) ORDER BY base) AS value FROM m WHERE base IN ('a', 'e', 'n') GROUP BY 1, 2
+UNION ALL SELECT k, -2, '>' || k || chr(9) || 'start=0' FROM z WHERE shortest > 0 UNION ALL SELECT k, -1, 'a' || chr(9) || 'e' || chr(9) || 'n' FROM z WHERE shortest > 0""")
 def matrix_lines(spark, d):
-    return matrices.to_lines(_matrix(spark, d), ["lang"], ("a", "e", "n"), 4).select("lang", F.col("line").cast("bigint").alias("line"), "value")
+    return matrices.to_lines(_matrix(spark, d), ["p_type"], ("a", "e", "n"), 4).select("p_type", F.col("line").cast("bigint").alias("line"), "value")
 
 
 @query("""SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY layer DESC) AS r FROM (
@@ -283,9 +280,10 @@ def semi_prune(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_totalprice").join(big, "o_orderkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def anti_missing(spark, d):
-    return table(spark, d, "customer").select("c_custkey", "c_name").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    returned = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(returned, "o_orderkey", "left_anti")
 
 
 @query("""SELECT event_id, round(score, 6) AS score, score > 0 AS positive, round(100 / (1 + exp(-score)) - 90, 6) AS relative FROM (SELECT event_id, -1.5 + value * 0.02 + user_id % 10 * 0.1 AS score FROM events)""")
@@ -335,11 +333,9 @@ def intron_names(spark, d):
     return table(spark, d, "events").select("event_id", name.alias("name"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_name || ';?' ELSE c_name || ';' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) || '.0%' END AS label FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_name || ';?' ELSE c_name || ';' || regexp_replace(regexp_replace(printf('%.3f', floor(c_acctbal / 7 * 1000) / 1000), '0+$', ''), '[.]$', '.0') || '%' END AS label FROM customer")
 def label_format(spark, d):
-    whole = F.floor("c_acctbal").cast("double")
-    text = report.label(F.col("c_name"), F.when(F.col("c_acctbal") >= 0, whole))
-    return table(spark, d, "customer").select("c_custkey", F.regexp_replace(text, r"(\d)\.?(\d*)E(\d+)%", "$1$2%").alias("label")).withColumns({"label": F.col("label")})
+    return table(spark, d, "customer").select("c_custkey", report.label(F.col("c_name"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") / 7)).alias("label"))
 
 
 @query("SELECT concat_ws(chr(9), CAST(s_suppkey AS VARCHAR), s_name, coalesce(CAST(CASE WHEN s_acctbal > 0 THEN s_nationkey END AS VARCHAR), '.')) AS line FROM supplier")
