@@ -37,7 +37,13 @@ class Config:
     adjust_splice_sites: bool = True
     subsamples: int = 0
     hyper_c: float | None = None
-    recursive: bool = False
+    recursive: int | None = None
+    generate_u2_bps_pwm: bool = False
+    pwm_score_info: bool = False
+    sequence_output: bool = True
+    abbreviate_filenames: bool = False
+    matrices: str | None = None
+    conserved_u2_bp: str | None = None
     optimise_rounds: int = 5
     chunk: int = field(default=1 << 20)
 

@@ -86,9 +86,13 @@ def seeded_sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(F.xxhash64("intron_id", F.lit(seed))).limit(n)
 
 
+#: Minor-type introns that a second round trains on: far more than a genome has, and what the solver's driver can hold.
+U12_LIMIT = 200_000
+
+
 def confident(scored: DataFrame, references: DataFrame, u2_limit: int = 5000, u12_least: int = 50) -> DataFrame:
     """Training introns of a second round: scores above 90 or below 10, topped up from the first round's references. P10, U1."""
-    u12 = scored.where("svm_score > 90").withColumns({"type_id": F.lit("u12")})
+    u12 = seeded_sample(scored.where("svm_score > 90").withColumns({"type_id": F.lit("u12")}), U12_LIMIT)
     u2 = seeded_sample(scored.where("svm_score < 10 and type_id = 'u2'"), u2_limit)
     out = u12.unionByName(u2)
     for kind, got, want in (("u12", u12, u12_least), ("u2", u2, u2_limit)):
@@ -116,7 +120,7 @@ def recursive(spark: SparkSession, introns: DataFrame, scored: DataFrame, refere
     else:
         plain = pwms.withColumns({"version": F.coalesce("version", F.lit(""))})
         new = matrices.average(plain, learnt.select(*key, "pos", "base", "freq"), key).withColumns({"version": F.lit(None).cast("string")}) if plain.where("version <> ''").isEmpty() else pwms.join(same, key, "left_anti").unionByName(learnt)
-    train = confident(all_.drop("bp_seq"), references.withColumns({"svm_score": F.lit(None).cast("double")}).select(*columns, "svm_score", "type_id"))
+    train = confident(all_.drop("bp_seq"), references.withColumns({"svm_score": F.lit(None).cast("double")}).select(*columns, "svm_score", "type_id"), config.recursive or 5000)
     raw_train = scoring.score(train, new, config).join(train.select("intron_id", "type_id"), "intron_id")
     parts = [f"{r}_z" for r in config.regions]
     fit = raw_train.agg(*[F.expr(f"percentile({r}_raw, array(0.25D, 0.5D, 0.75D))").alias(r) for r in config.regions]).first()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,16 +88,40 @@ def from_sequences(spark: SparkSession, path: str, config: Config, label: str |
     return rows.where(tagging.omission(config.least_length(12), 12, config.regions, True, True, False).isNull())
 
 
-def classify(spark: SparkSession, introns: DataFrame, references: DataFrame, pwms: DataFrame, config: Config) -> DataFrame:
-    """Raw scores, z-scores on the reference set, model, prediction. M6."""
+@dataclass(frozen=True)
+class Fitted:
+    """Means and deviations of the reference set's raw scores, and the models trained on it."""
+
+    scale: dict[str, tuple[float, float]]
+    models: list[svm.Model]
+
+
+def fit_model(spark: SparkSession, references: DataFrame, pwms: DataFrame, config: Config) -> Fitted:
+    """Raw scores of the references, their scale, and models. A17, M1-M3."""
     parts = [f"{r}_z" for r in config.regions]
     ref = references.select("intron_id", "type_id", "five_seq", "bp_region_seq", "three_seq", "dnts")
     raw_ref = scoring.score(ref, pwms, config).join(ref.select("intron_id", "type_id"), "intron_id").persist()
     stats = raw_ref.agg(*[F.avg(f"{r}_raw").alias(f"{r}_m") for r in config.regions], *[F.stddev_pop(f"{r}_raw").alias(f"{r}_s") for r in config.regions]).first()
-    z = {f"{r}_z": (F.col(f"{r}_raw") - stats[f"{r}_m"]) / (stats[f"{r}_s"] or 1.0) for r in config.regions}
-    models = svm.train(spark, raw_ref.withColumns(z), parts, config.subsamples, config.hyper_c, config.optimise_rounds)
+    scale = {r: (stats[f"{r}_m"], stats[f"{r}_s"] or 1.0) for r in config.regions}
+    models = svm.train(spark, raw_ref.withColumns(_z(scale)), parts, config.subsamples, config.hyper_c, config.optimise_rounds)
     raw_ref.unpersist()
-    return svm.predict(scoring.score(introns, pwms, config).withColumns(z), models, parts, config.threshold)
+    return Fitted(scale, models)
+
+
+def _z(scale: dict[str, tuple[float, float]]) -> dict:
+    return {f"{r}_z": (F.col(f"{r}_raw") - F.lit(m)) / F.lit(s) for r, (m, s) in scale.items()}
+
+
+def apply_model(introns: DataFrame, pwms: DataFrame, fitted: Fitted, config: Config) -> DataFrame:
+    """Raw scores, z-scores on the references' scale, prediction. M4, M5."""
+    return svm.predict(scoring.score(introns, pwms, config).withColumns(_z(fitted.scale)), fitted.models, [f"{r}_z" for r in config.regions], config.threshold)
+
+
+def classify(spark: SparkSession, introns: DataFrame, references: DataFrame, pwms: DataFrame, config: Config) -> DataFrame:
+    """Raw scores, z-scores on the reference set, model, prediction. M6. Introns that can't be scored are left out."""
+    if "omitted" in introns.columns:
+        introns = scorable(introns)
+    return apply_model(introns, pwms, fit_model(spark, references, pwms, config), config)
 
 
 def build_matrices(spark: SparkSession, path: str, subtype: str, five: tuple[int, int] = (-20, 20), three: tuple[int, int] = (-20, 20), any_bounds: bool = False) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.config import Config
 from helixframe.functions.report import bps_context, label, motif_string, tsv
+from helixframe.operators.training import position_marks
 
 
 def meta(introns: DataFrame) -> DataFrame:
@@ -38,6 +42,40 @@ def superseded(introns: DataFrame, by: str) -> DataFrame:
     return introns.where(F.col(by).isNotNull()).join(kept, F.col(by) == F.col("kept_id")).select(tsv("kept", "name").alias("value"))
 
 
+def demoted(introns: DataFrame, regions: Sequence[str] = ("five", "bp", "three")) -> DataFrame:
+    """K11: name, score and z-scores before, and after demotion, with five decimals."""
+    of = lambda total, parts: F.format_string("%.5f (" + ", ".join(["%.5f"] * len(parts)) + ")", total, *parts)
+    was = of(F.col("was.svm_score"), [F.col(f"was.{r}_z") for r in regions])
+    now = of(F.col("svm_score"), [F.col(f"{r}_z") for r in regions])
+    return introns.where("demoted").orderBy("svm_score").select(F.concat("name", F.lit("\t"), was, F.lit(" --> "), now).alias("value"))
+
+
+def pwm_score_info(introns: DataFrame, pwms: DataFrame, config: Config) -> DataFrame:
+    """K12, O2: by score, four lines an intron: its name and score, then for the three regions the marks of the minor-type
+    matrix, the sequence, and the marks of the major-type one, with the matrices' names last. F22."""
+    one = pwms.withColumns({"v": F.min(F.coalesce("version", F.lit(""))).over(Window.partitionBy("subtype", "dnts", "region"))})
+    one = one.where(F.coalesce("version", F.lit("")) == F.col("v"))
+    key = ["subtype", "dnts", "region"]
+    cells = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", F.col("pos").cast("string"), "base").alias("k"), F.col("freq").alias("f"))))
+    by_place = one.groupBy(*key, "pos").agg(F.max("freq").alias("most"), F.min("freq").alias("least")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "most", "least"))).alias("p"))
+    table = one.groupBy(*key).agg(cells.alias("cells")).join(by_place, key)
+    named = table.select(F.concat_ws("_", "subtype", "dnts").alias("matrix"), "region", F.struct("cells", F.col("p.most").alias("most"), F.col("p.least").alias("least")).alias("m"))
+    wide = named.groupBy("matrix").agg(F.map_from_entries(F.collect_list(F.struct("region", "m"))).alias("regions"))  # a row a matrix set
+    sites = {"five": ("five_seq", config.five_coords[0]), "bp": ("bp_seq", 0), "three": ("three_seq", config.three_coords[0])}
+    out = introns
+    for kind in ("u12", "u2"):
+        out = out.join(F.broadcast(wide.select(F.col("matrix").alias(f"{kind}_matrix"), F.col("regions").alias(f"{kind}_regions"))), f"{kind}_matrix", "left")
+
+    def marks(kind: str) -> list:
+        of = lambda r, f: F.col(f"{kind}_regions")[r][f]
+        seq = {r: F.coalesce(F.col(c), F.lit("")) for r, (c, _) in sites.items()}
+        return [F.coalesce(position_marks(seq[r], of(r, "cells"), of(r, "most"), of(r, "least"), s, config.missing), F.lit("")) for r, (_, s) in sites.items()]
+
+    name = lambda kind: F.array_join(F.array(*[F.concat(F.replace(f"{kind}_matrix", F.lit("_"), F.lit("-")), F.lit(f"-{r}")) for r in sites]), ",")
+    lines = [F.concat(F.lit(">"), "name", F.lit("\t"), F.col("svm_score").cast("string")), F.concat_ws("\t", *marks("u12"), name("u12")), F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) for c, _ in sites.values()], F.lit("")), F.concat_ws("\t", *marks("u2"), name("u2"))]
+    return out.orderBy("svm_score", "name").select(F.concat_ws("\n", *lines).alias("value"))
+
+
 def omission_counts(introns: DataFrame) -> DataFrame:
     """A12."""
     return introns.where("omitted is not null").groupBy("omitted").agg(F.count("*").alias("n"))

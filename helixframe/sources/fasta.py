@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(region, seq, region_order): one row a contig, named by the header's first word, in file order, upper case."""
-    raw = spark.read.text(path, lineSep=">").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    # a record begins with > at the start of a line; the file's first has no line break before it
+    value = F.regexp_replace("value", "^>", "")
+    raw = spark.read.text(path, lineSep="\n>").select(value.alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     raw = raw.where(F.btrim("value") != "")
     header = F.regexp_extract("value", r"^\s*(\S*)", 1)
     body = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"#[^\n]*|\s+", ""))
