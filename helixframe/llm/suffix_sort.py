@@ -8,9 +8,10 @@ under that neighbour's first symbol. Keys never fall below the one being served,
 first-in first-out run a symbol, and its runs go to disk whenever those in memory pass the budget. Common-prefix values
 travel with the tuples: a pushed tuple's is one more than the least value served since the last push of that symbol.
 
-Tuples are served in blocks, so each step is a few numpy calls on thousands of suffixes. Text, flags and queues may lie
-on disk; memory holds one block, the queues' unspilled ends, and the recursion's names while they fit. Names that don't
-fit are sorted by the same induction, one level down; names that do by doubling.
+Tuples are served in blocks, so each step is a few numpy calls on thousands of suffixes. The queues' runs and the marks
+of `repeated` go to disk past the budget. Type flags, S* positions, names and their order are whole arrays in memory: a
+text costs several times its size there. Names that fit the budget are sorted by doubling; others by the same induction,
+one level down, which is slow on large alphabets. Callers cut their shards accordingly (suffix_dedup.SHARD_BYTES).
 
 Symbols: 0 ends the text (once), 1 separates, a byte b is b + 2; UTF-8 has no byte above 0xF7, so 8 bits hold them all.
 """
