@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: five stages, each written as a table and read by the next."""
+"""From raw documents to packed training sequences: five stages, each written as a table and read by the next.
+
+Defined results: rows with null or empty text are rejected by the quality rules, so nothing later sees them; rows without
+a doc_id pass like others, those without a source are a source of their own; of repeated rows one stays; ties are broken
+by doc_id, then text; an empty table gives no piece; further columns pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
