@@ -171,11 +171,10 @@ sc AS (SELECT p_partkey, g.k, sum(log2(coalesce(m.freq, 0) + 0.0001)) AS score F
 SELECT p_partkey, round(max(score) FILTER (k = 'ECONOMY') - max(score) FILTER (k = 'PROMO'), 4) AS log_ratio FROM sc GROUP BY 1""")
 def pwm_score(spark, d):
     cells = matrices.as_map(matrices.add_pseudocount(_matrix(spark, d)), ["p_type"])
-    of = lambda kind, name: F.broadcast(cells.where(F.col("p_type") == kind).select(F.col("cells").alias(name)))  # noqa: E731  # one matrix
-    names = table(spark, d, "part").select("p_partkey", "p_name").where("p_name <> ''")
-    met = names.crossJoin(of("ECONOMY", "a")).crossJoin(of("PROMO", "b"))
-    score = lambda m: matrices.product_score(F.col("p_name"), F.col(m), 0)
-    return met.select("p_partkey", F.round(matrices.log_ratio(score("a"), score("b")), 4).alias("log_ratio"))
+    known = F.broadcast(cells.agg(F.map_from_entries(F.collect_list(F.struct("p_type", "cells"))).alias("known")))  # one row: a matrix a type
+    met = table(spark, d, "part").select("p_partkey", "p_name").where("p_name <> ''").crossJoin(known)
+    score = lambda kind: matrices.product_score(F.col("p_name"), F.element_at("known", F.lit(kind)), 0)
+    return met.select("p_partkey", F.round(matrices.log_ratio(score("ECONOMY"), score("PROMO")), 4).alias("log_ratio"))
 
 
 @query("""WITH w AS (SELECT p_partkey, i, substr(p_name, i + 1, 4) AS k FROM (SELECT p_partkey, p_name, unnest(range(0, length(p_name) - 3)) AS i FROM part WHERE length(p_name) >= 4)),
