@@ -1,363 +1,347 @@
 """External induced suffix sorting with common-prefix values.
 
 A text's suffixes are sorted in three steps. S*-substrings (from each S-type place after an L-type place to the next)
-are sorted and named; the string of names is sorted recursively; then two scans induce the order of all L-type and all
-S-type suffixes from the sorted S*-suffixes. The scans run over a monotone priority queue: a suffix taken from the queue
-puts its left neighbour's tuple (position, common prefix with the tuple put before under the same first symbol) back
-under that neighbour's first symbol. Keys never fall below the one being served, so the queue is a radix queue, one
-first-in first-out run a symbol, and its runs go to disk whenever those in memory pass the budget. Common-prefix values
-travel with the tuples: a pushed tuple's is one more than the least value served since the last push of that symbol.
-
-Tuples are served in blocks, so each step is a few numpy calls on thousands of suffixes. The queues' runs and the marks
-of `repeated` go to disk past the budget. Type flags, S* positions, names and their order are whole arrays in memory: a
-text costs several times its size there. Names that fit the budget are sorted by doubling; others by the same induction,
-one level down, which is slow on large alphabets. Callers cut their shards accordingly (suffix_dedup.SHARD_BYTES).
+are sorted by induction from their first symbols and named; the string of names is sorted recursively; then two scans
+induce the order of all L-type and all S-type suffixes from the sorted S*-suffixes. The scans run over a monotone
+priority queue: a suffix taken from the queue puts its left neighbour's tuple (position, common prefix with the tuple put
+before under the same first symbol) back under that neighbour's first symbol. Common-prefix values travel with the
+tuples: a pushed tuple's is one more than the least value served since the last push of that symbol.
+
+Beyond the memory budget all that grows with the text lies in files: the text, S* positions, names and their order as
+mapped files, the queue's tuples as runs sorted by symbol, the L-type order as a tape that the second scan reads
+backwards. Memory holds the queue's youngest tuples, one served block, and a few numbers a symbol. Symbols stay within
+16 bits, and fewer where memory is small: names above that are written as two digits of about equal range, so the next
+level's text has at most twice as many symbols as names, and is always shorter than this one's (by a third in prose). Names that fit the budget are
+sorted by doubling, and so are names of which the next level would leave nine tenths of the length or more, whatever
+their number: a text made for that costs memory. A text that fits the budget as a whole is sorted by suffix_memory.
+
+The text is read at the places that tuples name, through the mapped file: the system's page cache decides what is disk.
 
 Symbols: 0 ends the text (once), 1 separates, a byte b is b + 2; UTF-8 has no byte above 0xF7, so 8 bits hold them all.
 """
 
 from __future__ import annotations
 
+import math
 import os
-from collections import defaultdict
-from collections.abc import Iterator
+import struct
+import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
+from helixframe.llm.suffix_memory import TUPLE, Scan, boundary, by_doubling, common, falling, in_memory
+
 END, SEPARATOR, SHIFT = 0, 1, 2
 #: Common prefixes are counted up to here, unless a caller needs less.
 MOST = 1 << 14
-SERVED = 1 << 16
 MEMORY = 192 << 20
-TUPLE = np.dtype([("at", np.int64), ("lcp", np.int32)])
-
+#: What sorting in memory costs at most, in bytes: a symbol of a text, a name.
+OF_SYMBOL, OF_NAME = 64, 128
+WIDEST = (1 << 16) - 1
+#: Blocks that wait in a queue before they are merged.
+WAITING = 64
 
-class RadixQueue:
-    """First-in first-out runs of tuples by symbol; runs in memory beyond the budget are appended to files."""
 
-    def __init__(self, folder: str, name: str, budget: int):
-        self.folder, self.name, self.budget, self.held = folder, name, budget, 0
-        self.runs: dict[int, list[np.ndarray]] = defaultdict(list)
-        self.on_disk: dict[int, int] = {}
+class DiskQueue:
+    """A monotone priority queue of tuples: symbols are served in one direction, each first in, first out.
 
-    def put(self, symbol: int, run: np.ndarray) -> None:
-        self.runs[symbol].append(run)
-        self.held += run.nbytes
-        if self.held > self.budget:
-            for s, runs in self.runs.items():
-                with open(self._path(s), "ab") as f:
-                    for r in runs:
-                        f.write(r.tobytes())
-                        self.on_disk[s] = self.on_disk.get(s, 0) + len(r)
-            self.runs.clear()
-            self.held = 0
+    Puts wait in memory. Past the budget they are merged into one run, sorted by symbol. Runs follow each other in one
+    file; another one says where each symbol begins in each run.
+    """
 
-    def _path(self, symbol: int) -> str:
-        return os.path.join(self.folder, f"{self.name}-{symbol}")
+    def __init__(self, folder: str, symbols: int, rising: bool, budget: int, served: int):
+        self.symbols, self.rising, self.budget, self.served = symbols, rising, budget, served
+        self.data, self.index = tempfile.TemporaryFile(dir=folder), tempfile.TemporaryFile(dir=folder)  # noqa: SIM115
+        self.runs = self.size = self.held = 0
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        #: the symbol being served, and how many runs and waiting blocks have given what they have of it
+        self.now, self.runs_read, self.waiting_read = -1 if rising else symbols, 0, 0
+
+    def put(self, keys: np.ndarray, heads: np.ndarray | None, tuples: np.ndarray) -> None:
+        """Tuples sorted by key."""
+        keys = keys.astype(np.uint16)
+        self.waiting.append((keys, tuples))
+        self.held += keys.nbytes + tuples.nbytes
+        if self.held > self.budget or len(self.waiting) > WAITING:
+            self._merge()
+
+    def _merge(self) -> None:
+        """Waiting tuples that aren't served yet as one block, in memory if it is short, else on disk."""
+        parts = []
+        for i, (keys, tuples) in enumerate(self.waiting):
+            ahead = keys > self.now if self.rising else keys < self.now
+            if i >= self.waiting_read:
+                ahead |= keys == self.now
+            parts.append((keys[ahead], tuples[ahead].tobytes()))
+        keys = np.concatenate([k for k, _ in parts])
+        self.held, self.waiting, self.waiting_read = 0, [], 0
+        if not len(keys):
+            return
+        order = np.argsort(keys, kind="stable")
+        keys, tuples = keys[order], np.frombuffer(b"".join([t for _, t in parts]), TUPLE)[order]
+        if keys.nbytes + tuples.nbytes <= self.budget // 2:
+            self.held, self.waiting = keys.nbytes + tuples.nbytes, [(keys, tuples)]
+            return
+        starts = np.full(self.symbols + 1, self.size, np.int64)
+        starts[1:] += np.cumsum(np.bincount(keys, minlength=self.symbols))
+        for file, values in ((self.data, tuples), (self.index, starts)):
+            file.write(values.tobytes())
+            file.flush()
+        self.runs += 1
+        self.size += len(tuples)
+
+    def _of_run(self, run: int, symbol: int) -> bytes:
+        at = (run * (self.symbols + 1) + symbol) * 8
+        start, stop = struct.unpack("=qq", os.pread(self.index.fileno(), 16, at))
+        return os.pread(self.data.fileno(), (stop - start) * TUPLE.itemsize, start * TUPLE.itemsize) if stop > start else b""
 
     def serve(self, symbol: int) -> Iterator[np.ndarray]:
-        """Blocks of the symbol's run, those put meanwhile included, oldest first."""
-        read = 0
+        """Blocks of the symbol's tuples, those put meanwhile included, oldest first."""
+        self.now, self.runs_read, self.waiting_read = symbol, 0, 0
+        key = np.uint16(symbol)
         while True:
-            if self.on_disk.get(symbol, 0) > read:
-                block = np.fromfile(self._path(symbol), TUPLE, SERVED, offset=read * TUPLE.itemsize)
-                read += len(block)
-                yield block
-            elif runs := self.runs.pop(symbol, None):
-                self.held -= sum(r.nbytes for r in runs)
-                block = runs[0] if len(runs) == 1 else np.concatenate(runs)
-                for a in range(0, len(block), SERVED):
-                    yield block[a : a + SERVED]
-            else:
-                if self.on_disk.pop(symbol, 0):
-                    os.unlink(self._path(symbol))
+            parts, size = [], 0
+            while size < self.served * TUPLE.itemsize:
+                if self.runs_read < self.runs:
+                    part = self._of_run(self.runs_read, symbol)
+                    self.runs_read += 1
+                elif self.waiting_read < len(self.waiting):
+                    keys, tuples = self.waiting[self.waiting_read]
+                    part = tuples[keys.searchsorted(key) : keys.searchsorted(key, "right")].tobytes()
+                    self.waiting_read += 1
+                else:
+                    break
+                parts.append(part)
+                size += len(part)
+            if not size:
                 return
+            block = np.frombuffer(b"".join(parts), TUPLE)
+            for a in range(0, len(block), self.served):
+                yield block[a : a + self.served]
 
-    def backwards(self, symbol: int) -> Iterator[np.ndarray]:
-        """Blocks of the symbol's whole run from its end; each block reversed."""
-        runs = self.runs.pop(symbol, [])
-        self.held -= sum(r.nbytes for r in runs)
-        for r in reversed(runs):
-            for a in range(len(r), 0, -SERVED):
-                yield r[max(0, a - SERVED) : a][::-1]
-        for a in range(self.on_disk.pop(symbol, 0), 0, -SERVED):
-            start = max(0, a - SERVED)
-            yield np.fromfile(self._path(symbol), TUPLE, a - start, offset=start * TUPLE.itemsize)[::-1]
-        if os.path.exists(self._path(symbol)):
-            os.unlink(self._path(symbol))
-
-
-def _range_least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """min(values[first..last]) for each pair, by a sparse table over the block."""
-    span = (last - first + 1).astype(np.int64)
-    level = np.frexp(span.astype(np.float64))[1] - 1
-    out = np.empty(len(first), values.dtype)
-    table = values
-    for k in range(int(level.max()) + 1 if len(level) else 0):
-        if k:
-            half = 1 << (k - 1)
-            table = np.minimum(table[:-half], table[half:])
-        some = np.flatnonzero(level == k)
-        out[some] = np.minimum(table[first[some]], table[last[some] - (1 << k) + 1])
-    return out
-
-
-class _Scan:
-    """One inducing scan: hands each served block's left neighbours to the queue, with their common prefixes."""
+    def close(self) -> None:
+        self.waiting = []
+        self.data.close()
+        self.index.close()
 
-    def __init__(self, text: np.ndarray, queue: RadixQueue, symbols: int, rising: bool, most: int):
-        self.text, self.queue, self.rising, self.most = text, queue, rising, most
-        self.since = np.zeros(symbols, np.int64)
-        self.fresh = np.ones(symbols, bool)
-
-    def push(self, block: np.ndarray, symbol: int, of_same: bool) -> None:
-        """of_same: neighbours with the block's own symbol are induced too."""
-        at, lcp = block["at"], block["lcp"]
-        before = self.text[np.maximum(at - 1, 0)].astype(np.int64)
-        take = (before > symbol if self.rising else before < symbol) | (of_same & (before == symbol))
-        took = np.flatnonzero(take & (at > 0))
-        whole = lcp.min()
-        if not len(took):
-            np.minimum(self.since, whole, out=self.since)
-            return
-        key = before[took]
-        order = np.argsort(key.astype(np.uint16) if self.since.size <= 65536 else key, kind="stable")
-        took, key = took[order], key[order]
-        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        first = np.empty(len(took), np.int64)
-        first[1:] = took[:-1] + 1
-        first[heads] = 0
-        least = _range_least(lcp, first, took).astype(np.int64)
-        kinds = key[heads]
-        least[heads] = np.minimum(least[heads], self.since[kinds])
-        least += 1
-        np.minimum(least, self.most, out=least)
-        least[heads[self.fresh[kinds]]] = 0
-        ends = np.r_[heads[1:], len(took)]
-        tail = took[ends - 1] + 1
-        np.minimum(self.since, whole, out=self.since)
-        rest = np.full(len(kinds), self.most, np.int64)
-        inner = np.flatnonzero(tail < len(lcp))
-        if len(inner):
-            rest[inner] = _range_least(lcp, tail[inner], np.full(len(inner), len(lcp) - 1))
-        self.since[kinds] = rest
-        self.fresh[kinds] = False
-        out = np.empty(len(took), TUPLE)
-        out["at"], out["lcp"] = at[took] - 1, least
-        for k, a, z in zip(kinds.tolist(), heads.tolist(), ends.tolist(), strict=True):
-            self.queue.put(k, out[a:z])
-
-
-def _s_types(text: np.ndarray) -> np.ndarray:
-    """True where the suffix is smaller than the next one; the last symbol's is."""
-    step = np.flatnonzero(text[1:] != text[:-1])
-    rises = text[step + 1] > text[step]
-    out = np.ones(len(text), bool)
-    sizes = np.diff(step, prepend=-1)
-    out[: int(sizes.sum())] = np.repeat(rises, sizes)
-    return out
 
+class _Tape:
+    """Tuples in rising order of their symbols, on disk, read from the end."""
 
-def _words(text: np.ndarray) -> np.ndarray:
-    """text's 8 symbols from each place as a big-endian number; zeros follow the end."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    return np.ndarray((len(text),), ">u8", padded, strides=(1,))
+    def __init__(self, path: str, symbols: int, served: int):
+        self.path, self.counts, self.served = path, np.zeros(symbols, np.int64), served
+        self.file = open(path, "wb")  # noqa: SIM115
+        self.end = 0
 
+    def put(self, symbol: int, block: np.ndarray) -> None:
+        block.tofile(self.file)
+        self.counts[symbol] += len(block)
+        self.end += len(block)
 
-def _names(text: np.ndarray, stars: np.ndarray) -> tuple[np.ndarray, int]:
-    """For each S*-substring, in text order, the rank of its content; and how many contents there are.
-
-    A substring that another one continues is the larger: its last symbol is S-type, the other's is L-type there.
-    """
-    size = np.diff(stars, append=len(text) - 1) + 1
-    if text.dtype == np.uint8:
-        word, step = _words(text), 8
-    else:
-        word, step = text, 1
-    group = np.zeros(len(stars), np.int64)
-    todo, done = np.arange(len(stars)), 0
-    while len(todo):
-        at = stars[todo] + done
-        value = word[np.minimum(at, len(text) - 1)].astype(np.uint64 if step == 8 else np.int64)
-        over = np.minimum(np.maximum(done + step - size[todo], 0), step)
-        if step == 8:
-            ones = ~np.uint64(0)
-            value = value | np.where(over >= 8, ones, ~(ones << (np.minimum(over, 7).astype(np.uint64) * np.uint64(8))))
-        else:
-            value = np.where(over > 0, np.iinfo(np.int64).max, value)
-        order = np.lexsort((value, group[todo]))
-        g, v = group[todo][order], value[order]
-        new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
-        base = np.r_[True, g[1:] != g[:-1]]
-        starts = np.flatnonzero(base)
-        place = np.arange(len(todo))
-        of_group = np.repeat(place[starts], np.diff(starts, append=len(todo)))
-        head = np.maximum.accumulate(np.where(new, place, 0))
-        ranked = np.empty(len(todo), np.int64)
-        ranked[order] = g + head - of_group  # a group's number is its first member's rank, so splits stay in order
-        group[todo] = ranked
-        done += step
-        alone = np.empty(len(todo), bool)
-        alone[order] = new & np.r_[new[1:], True]
-        todo = todo[~alone & (size[todo] > done)]
-    values, names = np.unique(group, return_inverse=True)
-    return names.astype(np.int64), len(values)
-
-
-def _by_doubling(names: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes of names in memory, by their first most / 2 names or more, and which of them tie with the
-    one before: ranks of doubling length, only of those still tied."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    v = names[order]
-    head = np.maximum.accumulate(np.where(np.r_[True, v[1:] != v[:-1]], np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = head
-    step = 1
-    tied = order[_shared(head)]
-    while len(tied) and 2 * step < most:
-        nxt = np.where(tied + step < n, rank[np.minimum(tied + step, n - 1)], -1)
-        own = rank[tied]
-        o = np.argsort(own * (n + 1) + nxt + 1)
-        g, v, t = own[o], nxt[o], tied[o]
-        new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
-        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        place = np.arange(len(t))
-        of_group = np.repeat(place[starts], np.diff(starts, append=len(t)))
-        ranks = g + np.maximum.accumulate(np.where(new, place, 0)) - of_group
-        rank[t] = ranks
-        tied = t[_shared(ranks)]
-        step *= 2
-    if len(tied):
-        out = np.argsort(rank, kind="stable")
-    else:
-        out = np.empty(n, np.int64)
-        out[rank] = np.arange(n)
-    v = rank[out]
-    return out, np.r_[False, v[1:] == v[:-1]]
-
-
-def _shared(sorted_ranks: np.ndarray) -> np.ndarray:
-    """Which of sorted values have an equal neighbour."""
-    same = sorted_ranks[1:] == sorted_ranks[:-1]
-    return np.r_[same, False] | np.r_[False, same]
-
-
-def _common(word: np.ndarray, step: int, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Common prefixes of the suffixes at a and b, up to most; word holds `step` symbols from each place."""
-    out = np.zeros(len(a), np.int32)
-    left, done = np.arange(len(a)), 0
-    last = len(word) - 1
-    while len(left) and done < most:
-        x = word[np.minimum(a[left] + done, last)] ^ word[np.minimum(b[left] + done, last)]
-        same = x == 0
+    def backwards(self, symbol: int) -> Iterator[np.ndarray]:
+        """The symbol's tuples from the last one; symbols are asked for in falling order."""
+        self.file.flush()
+        first = self.end - int(self.counts[symbol])
+        while self.end > first:
+            start = max(first, self.end - self.served)
+            yield np.fromfile(self.path, TUPLE, self.end - start, offset=start * TUPLE.itemsize)[::-1]
+            self.end = start
+
+
+def _mapped(folder: str, name: str, kind: type, size: int) -> np.ndarray:
+    return np.asarray(np.memmap(os.path.join(folder, name), kind, "w+", shape=(max(size, 1),)))[:size]
+
+
+def _stars(text: np.ndarray, folder: str, served: int) -> np.ndarray:
+    """S* places in text order, the end included: S-type ones after L-type ones. Blocks are read from the end, since a
+    symbol's type is the next one's if they are equal."""
+    path = os.path.join(folder, "falling")
+    stop, rises, count = len(text) - 1, True, 0
+    with open(path, "wb") as out:
+        while stop > 0:
+            start = max(0, stop - served)
+            part = text[start : stop + 1]
+            step = np.flatnonzero(part[1:] != part[:-1])
+            s_type = np.full(len(part), rises)
+            if len(step):
+                s_type[: step[-1] + 1] = np.repeat(part[step + 1] > part[step], np.diff(step, prepend=-1))
+            found = np.flatnonzero(s_type[1:] & ~s_type[:-1])[::-1] + start + 1
+            found.astype(np.int64).tofile(out)
+            count += len(found)
+            stop, rises = start, bool(s_type[0])
+    stars = _mapped(folder, "stars", np.int64, count)
+    for a in range(0, count, served):
+        part = np.fromfile(path, np.int64, served, offset=a * 8)
+        stars[count - a - len(part) : count - a] = part[::-1]
+    os.unlink(path)
+    return stars
+
+
+def _equal(word: np.ndarray, step: int, a: np.ndarray, b: np.ndarray, size: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Which of the pairs marked in `same` have the same `size` symbols from a and from b."""
+    out = same.copy()
+    left, done = np.flatnonzero(same), 0
+    while len(left):
+        x = word[a[left] + done] ^ word[b[left] + done]
         if step == 8:
-            other = x[~same].astype(np.uint64)
-            out[left[~same]] = done + 7 - (np.frexp(other.astype(np.float64))[1] - 1 + _rounded(other)) // 8
-        else:
-            out[left[~same]] = done
-        left = left[same]
+            x >>= 8 * np.clip(done + 8 - size[left], 0, 7).astype(np.uint64)
+        out[left[x != 0]] = False
+        left = left[(x == 0) & (size[left] > done + step)]
         done += step
-    out[left] = most
-    return np.minimum(out, most)
+    return out
+
 
+class _External:
+    """One level: a text in a mapped file, sorted with files in a folder of its own."""
+
+    def __init__(self, text: np.ndarray, word: np.ndarray, step: int, folder: str, memory: int, most: int, carried: bool):
+        self.text, self.word, self.step, self.folder, self.memory, self.most, self.carried = text, word, step, folder, memory, most, carried
+        self.served = min(max(memory >> 9, 256), 1 << 16)
+        blocks = range(0, len(text), self.served)
+        self.symbols = max(int(text[a : a + self.served].max()) for a in blocks) + 1
+        self.stars = _stars(text, folder, self.served)
+
+    def _queue(self, rising: bool) -> DiskQueue:
+        return DiskQueue(self.folder, self.symbols, rising, self.memory >> 3, self.served)
+
+    def _scans(self, seeds: Callable[[int, int], Iterator[np.ndarray]], carried: bool) -> Iterator[np.ndarray]:
+        """Both scans from S* tuples: seeds(c, last) gives those that begin with c; last is the largest L-type suffix that
+        does, or -1."""
+        tape = _Tape(os.path.join(self.folder, "tape"), self.symbols, self.served)
+        queue = self._queue(True)
+        scan = Scan(self.text, queue, self.symbols, True, self.most, carried)
+        for c in range(self.symbols):
+            last = -1
+            for block in queue.serve(c):
+                scan.push(block, c, True)
+                tape.put(c, block)
+                last = int(block["at"][-1])
+            for block in seeds(c, last):
+                scan.push(block, c, False)
+        queue.close()
+        queue = self._queue(False)
+        yield from falling(self.text, queue, self.symbols, self.most, carried, tape.backwards)
+        queue.close()
+        tape.file.close()
+        os.unlink(tape.path)
+
+    def _named(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """S* places by falling S*-substring, the rank of each one's content in that order (in text order), and how many
+        contents there are."""
+        stars, n = self.stars, len(self.stars)
+        order, ranks = _mapped(self.folder, "order", np.int64, n), _mapped(self.folder, "ranks", np.int64, n)
+        first = self._queue(True)
+        for a in range(0, n, self.served):
+            seeds = np.zeros(len(stars[a : a + self.served]), TUPLE)
+            keys = self.text[stars[a : a + self.served]]
+            by = np.argsort(keys, kind="stable")
+            seeds["at"] = stars[a : a + self.served][by]
+            first.put(keys[by], None, seeds)
+
+        def places() -> Iterator[np.ndarray]:
+            for block in self._scans(lambda c, _: first.serve(c), False):
+                at = block["at"]
+                own, before = self.text[at], self.text[np.maximum(at - 1, 0)]
+                # a larger symbol comes before S* places, and before some L-type ones, which aren't among the S* places
+                at = at[(at > 0) & (before > own)]
+                index = np.searchsorted(stars, at)
+                yield at[stars[np.minimum(index, n - 1)] == at]
+            yield stars[-1:]
+
+        done, rank, last, last_size = 0, -1, -1, -1
+        for at in places():
+            if not len(at):
+                continue
+            index = np.searchsorted(stars, at)
+            size = np.where(index + 1 < n, stars[np.minimum(index + 1, n - 1)] - at + 1, 1)
+            before, of_before = np.r_[last, at[:-1]], np.r_[last_size, size[:-1]]
+            new = ~_equal(self.word, self.step, np.maximum(before, 0), at, size, size == of_before)
+            number = rank + np.cumsum(new)
+            ranks[index] = number
+            order[done : done + len(at)] = at
+            done, rank, last, last_size = done + len(at), int(number[-1]), int(at[-1]), int(size[-1])
+        first.close()
+        return order, ranks, rank + 1
+
+    def _ordered(self) -> np.ndarray:
+        """S* places by falling suffix."""
+        order, ranks, kinds = self._named()
+        n = len(order)
+        if kinds == n:
+            return order
+        digits = 1 if kinds <= min(WIDEST, max(self.memory >> 10, 255)) else 2
+        size = digits * (n - 1) + 1
+        if n * OF_NAME <= self.memory or size > 0.9 * len(self.text):
+            found, _ = by_doubling(kinds - 1 - ranks, self.most)
+            order[:] = self.stars[found[::-1]]
+            return order
+        radix = math.isqrt(kinds) + 1
+        names = _mapped(self.folder, "names", np.uint16, size)
+        for a in range(0, n - 1, self.served):
+            value = kinds - 1 - ranks[a : min(a + self.served, n - 1)]
+            if digits == 1:
+                names[a : a + len(value)] = value
+            else:
+                names[2 * a : 2 * (a + len(value)) : 2] = value // radix + 1
+                names[2 * a + 1 : 2 * (a + len(value)) + 1 : 2] = value % radix + 1
+        names[-1] = END
+        with tempfile.TemporaryDirectory(dir=self.folder) as folder:
+            done = 0
+            for block in _External(names, names, 1, folder, self.memory, self.most, False).blocks():
+                at = block["at"][block["at"] % digits == 0] // digits
+                order[done : done + len(at)] = self.stars[at]
+                done += len(at)
+            order[done] = self.stars[-1]
+        return order
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        """Blocks of (at, lcp) over all suffixes but the empty one, largest first."""
+        order = self._ordered()
+        n = len(order)
+        counts = np.zeros(self.symbols, np.int64)
+        for a in range(0, n, self.served):
+            counts += np.bincount(self.text[self.stars[a : a + self.served]], minlength=self.symbols)
+        cuts = np.r_[0, np.cumsum(counts)]
+
+        def seeds(c: int, last: int) -> Iterator[np.ndarray]:
+            for a in range(int(cuts[c]), int(cuts[c + 1]), self.served):
+                z = min(a + self.served, int(cuts[c + 1]))
+                block = np.zeros(z - a, TUPLE)
+                block["at"] = order[n - z : n - a][::-1]
+                if self.carried:
+                    before = np.r_[order[n - a] if a else 0, block["at"][:-1]]
+                    block["lcp"] = common(self.word, self.step, before, block["at"], self.most)
+                    if a == cuts[c]:
+                        block["lcp"][0] = boundary(self.text, last, int(block["at"][0]), self.most) if last >= 0 else 0
+                yield block
 
-def _rounded(x: np.ndarray) -> np.ndarray:
-    """-1 where the conversion to double rounded x up to the next power of two."""
-    power = np.frexp(x.astype(np.float64))[1] - 1
-    return -((power >= 64) | ((x >> np.minimum(power, 63).astype(np.uint64)) == 0)).astype(np.int64)
+        yield from self._scans(seeds, self.carried)
 
 
-def induced(text: np.ndarray, folder: str, memory: int = MEMORY, most: int = MOST, level: int = 0) -> Iterator[np.ndarray]:
+def induced(text: np.ndarray, folder: str, memory: int = MEMORY, most: int = MOST) -> Iterator[np.ndarray]:
     """Blocks of (at, lcp) over all suffixes, largest first; lcp is the prefix shared with the suffix before in this order,
     counted up to most.
 
-    text ends with its only 0.
+    text (bytes) ends with its only 0; it may be a mapped file.
     """
     n = len(text)
-    if n == 1:
-        yield np.zeros(1, TUPLE)
-        return
-    s_type = _s_types(text)
-    stars = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    names, kinds = _names(text, stars)
-    tie = None
-    if kinds == len(stars):
-        order = np.empty(len(stars), np.int64)
-        order[names] = np.arange(len(stars))
-    elif names.nbytes * 8 <= memory * 4:
-        order, tie = _by_doubling(names, most)
-    else:
-        # the last S*-substring is the end itself, so its name is 0 and occurs once
-        order = np.concatenate([b["at"] for b in induced(names, folder, memory, most, level + 1)])[::-1]
-    del names
-    sorted_stars = stars[order]
-    lcps = np.full(len(order), most, np.int32)
-    lcps[0] = 0
-    word, step = (_words(text), 8) if text.dtype == np.uint8 else (text, 1)
-    told = np.arange(1, len(order)) if tie is None else np.flatnonzero(~tie[1:]) + 1
-    for a in range(0, len(told), SERVED):
-        at = told[a : a + SERVED]
-        lcps[at] = _common(word, step, sorted_stars[at - 1], sorted_stars[at], most)
-    del s_type, stars, order, word
-    symbols = int(text.max()) + 1
-    star_symbol = text[sorted_stars]
-    cuts = np.searchsorted(star_symbol, np.arange(symbols + 1))
-
-    def run_of(at: int) -> int:
-        c, k = text[at], 1
-        while text[at + k] == c and k < most:
-            k += 1
-        return k
-
-    def boundary(a: int, b: int) -> int:
-        """Common prefix of an L-type and an S-type suffix with the same first symbol."""
-        return min(run_of(a), run_of(b))
-
-    done = RadixQueue(folder, f"done{level}", memory // 2)
-    queue = RadixQueue(folder, f"rise{level}", memory // 4)
-    scan = _Scan(text, queue, symbols, True, most)
-    for c in range(symbols):
-        last = -1
-        for block in queue.serve(c):
-            scan.push(block, c, True)
-            done.put(c, block)
-            last = int(block["at"][-1])
-        for a in range(int(cuts[c]), int(cuts[c + 1]), SERVED):
-            z = min(a + SERVED, int(cuts[c + 1]))
-            block = np.empty(z - a, TUPLE)
-            block["at"], block["lcp"] = sorted_stars[a:z], lcps[a:z]
-            if a == cuts[c]:
-                block["lcp"][0] = boundary(last, int(block["at"][0])) if last >= 0 else 0
-            scan.push(block, c, False)
-    del sorted_stars, lcps, star_symbol
-    queue = RadixQueue(folder, f"fall{level}", memory // 4)
-    scan = _Scan(text, queue, symbols, False, most)
-    for c in range(symbols - 1, 0, -1):
-        last = -1
-        for block in queue.serve(c):
-            scan.push(block, c, True)
-            yield block
-            last = int(block["at"][-1])
-        carried = boundary_at = -1
-        for block in done.backwards(c):
-            # the run's own values compare a suffix with the smaller one before it: shift them by one place
-            out = block.copy()
-            out["lcp"][1:] = block["lcp"][:-1]
-            if boundary_at < 0:
-                boundary_at = int(block["at"][0])
-                out["lcp"][0] = boundary(boundary_at, last) if last >= 0 else 0
-            else:
-                out["lcp"][0] = carried
-            carried = int(block["lcp"][-1])
-            scan.push(out, c, False)
-            yield out
+    if n > 1:
+        if n * OF_SYMBOL <= memory:
+            yield from in_memory(text, most)
+        else:
+            with tempfile.TemporaryDirectory(dir=folder) as own:
+                held = _mapped(own, "text", np.uint8, n + 8)  # zeros follow, for the last places' words
+                for a in range(0, n, 1 << 16):
+                    held[a : min(a + (1 << 16), n)] = text[a : a + (1 << 16)]
+                word = np.ndarray((n,), ">u8", held, strides=(1,))
+                yield from _External(held[:n], word, 8, own, memory, most, True).blocks()
     yield np.array([(n - 1, 0)], TUPLE)
 
 
 def repeated(text: np.ndarray, least: int, folder: str, memory: int = MEMORY) -> np.ndarray:
     """Places whose suffix shares least symbols or more with another one's; ascending."""
-    mark = np.zeros(len(text), bool) if len(text) <= memory else np.memmap(os.path.join(folder, "marks"), bool, "w+", shape=(len(text),))
+    mark = np.zeros(len(text), bool) if len(text) <= memory else _mapped(folder, "marks", bool, len(text))
     last = None
     for block in induced(text, folder, memory, least):
         long = np.flatnonzero(block["lcp"] >= least)

@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import tempfile
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
@@ -114,15 +116,18 @@ def test_a_text_cut_into_parts_loses_no_repeat(spark):
     assert all(got[i + 2].n_removed == z - a for i, (a, z) in enumerate(copied))
 
 
-def test_induced_suffix_order_in_memory_and_on_disk():
-    rng = random.Random(0)
+@pytest.mark.parametrize("widest", [3, 65535])
+def test_induced_suffix_order_in_memory_and_on_disk(monkeypatch, widest):
+    rng = random.Random(widest)
+    monkeypatch.setattr(suffix_sort, "WIDEST", widest)
+    monkeypatch.setattr(suffix_sort, "WAITING", 2)
     with tempfile.TemporaryDirectory() as folder:
-        for _ in range(400):
-            sigma, n = rng.choice([1, 2, 3, 200]), rng.randint(0, 50)
+        for _ in range(150):
+            sigma, n = rng.choice([1, 2, 3, 200]), rng.choice([rng.randint(0, 50), rng.randint(0, 300)])
             text = np.array([rng.randint(1, sigma) for _ in range(n)] + [0], np.uint8)
             memory = rng.choice([0, 200, 1 << 20])
             got = np.concatenate(list(suffix_sort.induced(text, folder, memory)))
-            s = text.tolist()
+            s = bytes(text)
             order = sorted(range(len(s)), key=lambda i: s[i:], reverse=True)
             assert got["at"].tolist() == order
             for k in range(1, len(order)):
@@ -130,6 +135,32 @@ def test_induced_suffix_order_in_memory_and_on_disk():
                 while max(a, b) + n < len(s) and s[a + n] == s[b + n]:
                     n += 1
                 assert got["lcp"][k] == n
+        assert not os.listdir(folder)
+
+
+def test_a_text_far_larger_than_memory_is_sorted_on_disk(tmp_path):
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(w).encode() for w in rng.choice(list("etaoinshrdlu"), (3000, 6))])
+    text = bytearray(b" ".join(words[rng.zipf(1.3, 150_000) % 3000]))
+    text[900_000:900_300] = text[200_000:200_300]
+    symbols = np.append(np.frombuffer(text, np.uint8) + np.uint8(suffix_sort.SHIFT), np.uint8(0))
+    memory = len(symbols) // 8
+    tracemalloc.start()
+    last, seen = None, 0
+    for block in suffix_sort.induced(symbols, str(tmp_path), memory, 64):
+        at = block["at"].tolist()
+        for k, lcp in zip(at[:: len(at) // 4 + 1], block["lcp"][:: len(at) // 4 + 1].tolist(), strict=True):
+            before = last if k == at[0] else at[at.index(k) - 1]
+            if before is not None:
+                x, y = text[before : before + 64], text[k : k + 64]
+                assert x >= y and lcp == len(os.path.commonprefix([bytes(x), bytes(y)]))
+        last, seen = at[-1], seen + len(at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(symbols) and peak < 3 * memory
+    hit = suffix_sort.repeated(symbols, 200, str(tmp_path), memory)
+    assert hit.tolist() == suffix_sort.repeated(symbols, 200, str(tmp_path)).tolist()
+    assert set(range(200_000, 200_101)) | set(range(900_000, 900_101)) <= set(hit.tolist())
 
 
 def test_rows_that_share_a_doc_id_lose_no_link_and_no_text(spark):
