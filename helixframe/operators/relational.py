@@ -10,6 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Stretches that a group's values are dealt to where they are added up in order.
+BLOCKS = 512
+
 
 def adjacent_pairs(df: DataFrame, keys: Sequence[str], order: Sequence[Column], fields: Sequence[str]) -> DataFrame:
     """Each row with the next one of its group as struct `next` (null at the end). W1."""
@@ -80,16 +83,52 @@ def z_scores(df: DataFrame, value: str, reference: Column, name: str = "z") -> D
     return df.crossJoin(F.broadcast(fit)).withColumns({name: (F.col(value) - F.col("__mean")) / sd}).drop("__mean", "__sd")
 
 
+def accumulated(counts: DataFrame, keys: Sequence[str], value: str, amounts: Sequence[str]) -> DataFrame:
+    """counts (one row for each value of a group) with run_x, the sum of x up to that value, and all_x, for each x of amounts.
+
+    Values are dealt to BLOCKS equal stretches of their group's range, and the stretches' sums are added up first: a
+    window holds the values of one stretch, not those of a group.
+    """
+    ends = counts.groupBy(*keys).agg(F.min(value).cast("double").alias("__low"), F.max(value).cast("double").alias("__high"))
+    met = counts.join(ends, list(keys)) if keys else counts.crossJoin(F.broadcast(ends))  # without keys, one row
+    share = F.try_divide(F.col(value).cast("double") - F.col("__low"), F.col("__high") - F.col("__low"))
+    met = met.withColumns({"__block": F.coalesce(F.when(~F.isnan(share), F.floor(share * BLOCKS)), F.lit(0)).cast("bigint")})
+    own = Window.partitionBy(*keys, "__block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = met.groupBy(*keys, "__block").agg(*[F.sum(x).alias(f"__of_{x}") for x in amounts])
+    sums = sums.withColumns({f"__before_{x}": F.coalesce(F.sum(f"__of_{x}").over(before), F.lit(0)) for x in amounts} | {f"all_{x}": F.sum(f"__of_{x}").over(Window.partitionBy(*keys)) for x in amounts})
+    run = met.withColumns({f"__run_{x}": F.sum(x).over(own) for x in amounts}).join(sums, [*keys, "__block"])
+    return run.select(*keys, value, *amounts, *[(F.col(f"__run_{x}") + F.col(f"__before_{x}")).alias(f"run_{x}") for x in amounts], *[f"all_{x}" for x in amounts])
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(keys, q): the exact quantiles of each group's values, in the order of shares, linearly interpolated; nulls don't
+    count. No buffer holds a group's values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    rows = accumulated(counts, keys, value, ["n"])
+    found = []
+    for i, share in enumerate(shares):
+        at = F.lit(float(share)) * (F.col("all_n") - 1)
+        found += [F.min(F.when(F.col("run_n") > F.floor(at), F.col(value))).alias(f"a{i}"), F.min(F.when(F.col("run_n") > F.ceil(at), F.col(value))).alias(f"z{i}"), F.first(at).alias(f"at{i}")]
+    met = rows.groupBy(*keys).agg(*found)
+
+    def between(i: int) -> Column:
+        low, high, at = F.col(f"a{i}").cast("double"), F.col(f"z{i}").cast("double"), F.col(f"at{i}")
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    return met.select(*keys, F.array(*[between(i) for i in range(len(shares))]).alias("q"))
+
+
 def robust_scores(df: DataFrame, value: str, reference: Column | None = None, name: str = "z") -> DataFrame:
     """(x - median) / interquartile range, exact quantiles with linear interpolation. A18."""
-    fit = (df if reference is None else df.where(reference)).agg(F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D))").alias("__q"))
+    fit = quantiles(df if reference is None else df.where(reference), [], value, [0.25, 0.5, 0.75]).withColumnRenamed("q", "__q")
     spread = F.col("__q")[2] - F.col("__q")[0]
     return df.crossJoin(F.broadcast(fit)).withColumns({name: (F.col(value) - F.col("__q")[1]) / F.when(spread == 0, 1.0).otherwise(spread)}).drop("__q")
 
 
 def below_percentile(df: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
     """Rows below their group's exact percentile. A10."""
-    cut = df.groupBy(*keys).agg(F.expr(f"percentile({value}, {share}D)").alias("cut"))
+    cut = quantiles(df, keys, value, [share]).select(*keys, F.col("q")[0].alias("cut"))
     return df.join(cut, list(keys)).where(F.col(value) < F.col("cut"))
 
 
@@ -131,11 +170,12 @@ def confusion(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
 
 
 def precision_recall(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """Precision and recall at each distinct score, from the top. A22. One row a distinct score meets in the window."""
-    by = df.groupBy(score).agg(F.sum(F.col(truth).cast("int")).alias("__p"), F.count("*").alias("__n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    tp, n, all_ = F.sum("__p").over(w), F.sum("__n").over(w), F.sum("__p").over(Window.partitionBy())
-    return by.select(score, (tp / n).alias("precision"), (tp / all_).alias("recall"))
+    """Precision and recall at each distinct score, from the top; rows without a score don't count. A22."""
+    scored = df.where(F.col(score).isNotNull())
+    by = scored.groupBy(score).agg(F.coalesce(F.sum(F.col(truth).cast("int")), F.lit(0)).alias("p"), F.count("*").alias("n"))
+    # from the top: all but what lies below
+    upward = lambda x: F.col(f"all_{x}") - F.col(f"run_{x}") + F.col(x)
+    return accumulated(by, [], score, ["p", "n"]).select(score, (upward("p") / upward("n")).alias("precision"), F.try_divide(upward("p"), F.col("all_p")).alias("recall"))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

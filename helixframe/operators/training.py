@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.config import Config
-from helixframe.operators import matrices, scoring, svm
+from helixframe.operators import matrices, relational, scoring, svm
 
 #: (type, terminal pair, what the displayed 5' site begins with) of the empirical matrices (fixed values).
 CLASSES = (("u12", "atac", "^AT[ACT]{3}"), ("u12", "gtag", "^GT[ACT]{3}"), ("u2", "gtag", "^GT"), ("u2", "gcag", "^GC"))
@@ -50,7 +50,7 @@ def branch_points(introns: DataFrame, pwms: DataFrame, config: Config, share: fl
             yield rows.assign(five_score=five, s=seq)[["five_score", "s", "dnts"]]
 
     found = introns.select("five_seq", "bp_region_seq", "dnts").mapInPandas(run, "five_score double, s string, dnts string").persist()
-    cut = found.agg(F.expr(f"percentile(five_score, {share}D)")).first()[0]
+    cut = relational.quantiles(found, [], "five_score", [share]).first()["q"][0]
     rows = found.where((F.col("five_score") < F.lit(cut)) & F.col("dnts").isin("GT-AG", "GC-AG") & F.col("s").isNotNull())
     if rows.count() < min_count:
         return None

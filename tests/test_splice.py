@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.config import Config
 from helixframe.functions import dna, report
 from helixframe.operators import introns as intron_ops
-from helixframe.operators import matrices, scoring, sequences, svm
+from helixframe.operators import matrices, relational, scoring, sequences, svm
 from helixframe.plans import pipeline, sinks
 from helixframe.sources import bed, fasta, gff, lines, pwm
 from helixframe.sources import introns as intron_files
@@ -209,3 +209,20 @@ def test_second_round_demotion_and_learnt_matrices(spark, tmp_path):
     assert down.where("demoted").count() == scored.where("svm_score > 50").count() == down.where("demoted_tag = '[d]' and svm_score = 1").count()
     marks = spark.range(1).select(training.position_marks(F.lit("AC"), F.create_map(F.lit("0|A"), F.lit(0.5), F.lit("1|C"), F.lit(0.2)), F.array(F.lit(0.5), F.lit(0.7)), F.array(F.lit(0.1), F.lit(0.1)), 0).alias("m")).first().m
     assert marks == "*2"
+
+
+def test_quantiles_and_curves_against_one_buffer(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("aab"), rng.choice([rng.gauss(0, 1e3), 1.0, 2.0, float(rng.randint(0, 4))]), rng.random() < 0.3) for _ in range(3000)]
+    rows += [("one", 5.0, True), ("same", 1.5, False), ("same", 1.5, True), ("a", None, True), ("wide", float("-inf"), True), ("wide", 0.0, False), ("wide", 1e308, False)]
+    df = spark.createDataFrame(rows, "k string, v double, t boolean")
+    shares = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
+    got = {r.k: r.q for r in relational.quantiles(df, ["k"], "v", shares).collect()}
+    assert got == {r.k: r.q for r in df.groupBy("k").agg(F.expr(f"percentile(v, array({', '.join(f'{s}D' for s in shares)}))").alias("q")).collect()}
+    assert relational.quantiles(df.where("false"), [], "v", [0.5]).first().q == [None]
+    curve = {r.v: (r.precision, r.recall) for r in relational.precision_recall(df, "t", "v").collect()}
+    known = [(v, t) for _, v, t in rows if v is not None]
+    for v in {v for v, _ in known}:
+        above = [t for x, t in known if x >= v]
+        assert curve[v] == (sum(above) / len(above), sum(above) / sum(t for _, t in known))
+    assert not relational.precision_recall(df.where("false"), "t", "v").collect()
