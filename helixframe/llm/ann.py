@@ -14,7 +14,8 @@ README. The functions grow by one for each fourfold number of rows, and the tabl
 says; without that, true neighbours would be lost as the table grows.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part; vectors of another
-length are another space; repeated ids count once; an empty table gives an empty table; extra columns are ignored.
+length are another space; repeated ids count once, of different vectors under one id that with
+the least digest; cosines that differ in their last bits are no tie; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import settle
+from helixframe.llm.common import merged, settle
 
 TABLES, FUNCTIONS, WIDTH, PROBES, SEED = 12, 10, 2.5, 60, 20240229
 SALT = 4096
@@ -193,6 +194,9 @@ def nearest(vectors: DataFrame, queries: str, k: int = 5, tables: int | None = N
     """
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_clean, "vec_id long, key binary, vec binary")
     rows = settle(rows, "vectors")
+    shared = rows.groupBy("vec_id").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").drop("most")
+    if not shared.isEmpty():
+        rows = rows.join(merged(shared), "vec_id", "left").where("least is null or key = least").drop("least")
     first = rows.withColumns({"n": F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))}).where(F.col("n") <= k + 1)
     classes = settle(first.groupBy("key").agg(F.min("vec_id").alias("cid"), F.sort_array(F.collect_set("vec_id")).alias("ids"), F.min("vec").alias("vec")), "classes")
     if None in (tables, functions, probes):

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from helixframe.llm import ann, chat, langid, mixing, near_dedup, packing, pii, quality, secret_scan, shingles, suffix_dedup, suffix_sort
 from helixframe.llm.contracts import vocab
 from tests.llm import edge
@@ -412,3 +413,64 @@ def test_language_rules_speak_only_of_languages_they_cover(spark):
 def test_quality_rules_are_one_projection(spark):
     plan = quality.annotate(edge.documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Exchange|Join|Generate", plan)
+
+
+def test_awkward_logs(spark):
+    schema = "conv_id long, message long, seq long, kind string, role string, text string, formatted string, turns int, reset int, rank int, loss string"
+    events = [(1, 1, 1, "open", None, None), (1, 1, 2, "delta", "x", None), (1, 2, 3, "open", "assistant", None), (1, 2, 3, "open", "late", None), (1, 2, 4, "delta", None, "b"), (1, 2, 4, "delta", None, "a"), (1, 2, 4, "delta", None, "a"), (2, 1, 1, "delta", None, "[INST]" * 50_000), (None, 1, 1, "open", "user", None)]
+    log = spark.createDataFrame([(*e, "f", 1, 2, 3, "l") for e in events], schema)
+    out = {r.conv_id: r for r in chat.read_back(chat.format_log(log)).collect()}
+    assert [tuple(t) for t in out[1].turns] == [("", ""), ("assistant", "aab")] and out[1].learnt == ["aab"]
+    assert [tuple(t) for t in out[2].turns] == [("", "[INST]" * 50_000)] and "[INST]" not in out[2].formatted
+    assert [tuple(t) for t in out[None].turns] == [("user", "")]
+    assert chat.read_back(chat.format_log(log.where("false"))).collect() == []
+    rows = spark.createDataFrame([(1, 1, None, None, 4), (1, 1, None, None, 4), (1, None, "assistant", "x", 4)], "conv_id long, turn long, role string, text string, message int")
+    assert [tuple(t) for t in chat.read_back(chat.format_log(chat.log_of_messages(rows))).first().turns] == [("assistant", "x"), ("", ""), ("", "")]
+
+
+def test_packing_of_awkward_rows(spark):
+    from tokenizers import Tokenizer
+
+    docs = edge.documents(spark)
+    whole = Tokenizer.from_file(vocab("word_bpe_49k.json"))
+    wanted: dict = {}
+    for r in docs.collect():
+        wanted[r.doc_id] = wanted.get(r.doc_id, 0) + len(whole.encode(r.text or "", add_special_tokens=False).ids) + 1
+    out = packing.pack(docs, vocab("word_bpe_49k.json")).collect()
+    got: dict = {}
+    ends: dict = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        assert r.offset == ends.get(r.sequence_id, 0) and r.length == len(r.ids) // 4
+        ends[r.sequence_id] = r.offset + r.length
+    assert got == wanted and max(ends.values()) <= 4096
+
+
+def test_mix_of_awkward_rows(spark):
+    docs = edge.documents(spark)
+    plan = docs.drop("size").transform(mixing.assign).groupBy("doc_id").agg(F.sum("taken").alias("n")).where("n > 0")
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    said = out.groupBy("doc_id").agg(F.sum(F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))).alias("n"))
+    assert {r.doc_id: r.n for r in said.collect()} == {r.doc_id: r.n for r in plan.collect()}
+
+
+def test_vectors_with_ties_and_shared_ids(spark):
+    rows = [(0, [1.0, 1.0]), (9, [4.0, 4.0]), (8, [0.5, 0.5]), (7, [2.0, 2.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, "vec_id % 50 = 0", k=3, functions=2, width=8.0).collect()
+    first = [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0]
+    assert first == [(1, 7), (2, 8), (3, 9)]
+    # of two vectors under one id, one counts
+    assert sorted((r.rank, r.vec_id) for r in got if r.query_id == 50) == [(1, 0), (2, 7), (3, 8)]
+
+
+def test_pipeline_on_awkward_rows_and_on_none(spark):
+    docs = edge.documents(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+    assert {r.doc_id for r in docs.collect()} == {1, None}
+    docs = edge.empty(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+    assert docs.collect() == []
