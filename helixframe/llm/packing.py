@@ -18,6 +18,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,11 +77,11 @@ class WordTokenizer:
         if len(self.of_token) > KNOWN_WORDS:
             self.of_word, self.of_token = {}, {}
         known = self.of_token
-        if new := {w for ws in tokens for w in ws if w not in known}:
+        if new := set(chain.from_iterable(tokens)).difference(known):
             self.learn(new)
-        out = []
+        out, ids_of = [], known.__getitem__
         for text, ok, ws in zip(texts, plain, tokens, strict=True):
-            out.append(b"".join([known[w] for w in ws]) if ok else np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            out.append(b"".join(map(ids_of, ws)) if ok else np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
         return out
 
 
