@@ -6,7 +6,8 @@ merged at the end, in groups of partitions, the same way; the last window of a g
 every sequence is full or a power of two long, and nothing is padded.
 
 Tokens are made once: documents are read in one pass, whole; only the pieces of windows left open (a fixed number per
-partition) meet in a shuffle. Words met before in a task are looked up, up to KNOWN_WORDS of them.
+partition) meet in a shuffle. Words met before in a task are looked up, about KNOWN_WORDS of
+them.
 
 Defined results: a null or empty text is the end token alone; repeated rows are documents each; an empty table gives
 no piece; extra columns are ignored. sequence_id depends on how the input is split, the pieces' contents don't.
@@ -15,13 +16,15 @@ no piece; extra columns are ignored. sequence_id depends on how the input is spl
 from __future__ import annotations
 
 import json
-import re
+import os
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from functools import cached_property
+from itertools import chain, filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,21 +35,27 @@ WINDOW = 4096
 OPEN_WINDOWS = 16
 MERGED = 64
 KNOWN_WORDS = 400_000
+AT_ONCE = 200
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Texts of these characters only are cut at white space and looked up word by word; others go through the tokenizer whole.
-_ODD = re.compile(r"[^\t-\r\x20-\x7e¡«»¿À-ÖØ-öø-įı-ž]")
+_ODD = r"[^\t-\r\x20-\x7e¡«»¿À-ÖØ-öø-įı-ž]"
 
 
 class WordTokenizer:
-    """Ids of a word-level BPE tokenizer as little-endian 32-bit bytes: the same as its own encode(), by cached words."""
+    """Ids of a word-level BPE tokenizer as little-endian 32-bit bytes: the same as its own encode(), by remembered words.
+
+    Texts are lower-cased, cut and numbered by Arrow, and only the distinct words of a batch are looked up. What is
+    remembered lies in two halves: when the new half is full, it becomes the old one, and words met again move over.
+    """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         spec = json.loads(open(path, encoding="utf-8").read())
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         spaces = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]}
@@ -54,34 +63,66 @@ class WordTokenizer:
         end = spec["model"]["end_of_word_suffix"]
         self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(end)]] = True
-        self.of_word: dict[str, bytes] = {}
-        self.of_token: dict[str, bytes] = {}
-
-    def learn(self, tokens: set[str]) -> None:
-        """Fills both tables for white-space-delimited lower-case tokens."""
-        parts = {t: (t,) if t.isalpha() else self.split(t) for t in tokens}
-        new = list({w for ws in parts.values() for w in ws if w not in self.of_word})
-        for a in range(0, len(new), 1000):
-            ids = np.array(self.words.encode(" ".join(new[a : a + 1000]), add_special_tokens=False).ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            raw, at = ids.tobytes(), 0
-            for w, stop in zip(new[a : a + 1000], stops, strict=True):
-                self.of_word[w] = raw[4 * at : 4 * stop]
-                at = stop
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is, made when the first text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def recall(self, words: Iterable[str]) -> list[str]:
+        """Moves what the old half knows of these to the new half; the rest."""
+        old, rest = self.old, []
+        for w in words:
+            if w in old:
+                self.new[w] = old[w]
+            else:
+                rest.append(w)
+        return rest
+
+    def learn(self, tokens: list[str]) -> None:
+        """Remembers white-space-delimited lower-case tokens, and the words they are made of, which are tokens as well."""
+        parts = {t: self.split(t) for t in tokens if not t.isalpha()}
+        inner = set(chain.from_iterable(parts.values())).difference(self.new)
+        words = list({*self.recall(inner), *(t for t in tokens if t not in parts)})
+        for a in range(0, len(words), AT_ONCE):
+            now = words[a : a + AT_ONCE]
+            ids = np.array(self.words.encode_batch_fast([" ".join(now)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            self.new.update(zip(now, [raw[x:y] for x, y in zip([0, *stops], stops)], strict=True))
+        ids_of = self.new.__getitem__
         for t, ws in parts.items():
-            self.of_token[t] = self.of_word[t] if len(ws) == 1 and ws[0] == t else b"".join([self.of_word[w] for w in ws])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not _ODD.search(t) and not ("<|" in t and any(s in t for s in self.special)) for t in texts]
-        tokens = [t.lower().split() if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        if len(self.of_token) > KNOWN_WORDS:
-            self.of_word, self.of_token = {}, {}
-        known = self.of_token
-        if new := set(chain.from_iterable(tokens)).difference(known):
-            self.learn(new)
-        out, ids_of = [], known.__getitem__
-        for text, ok, ws in zip(texts, plain, tokens, strict=True):
-            out.append(b"".join(map(ids_of, ws)) if ok else np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            if t not in self.new:
+                self.new[t] = b"".join(map(ids_of, ws))
+
+    def look_up(self, tokens: list[str]) -> list[bytes]:
+        if len(self.new) > KNOWN_WORDS // 2:
+            self.new, self.old = {}, self.new
+        if missing := list(filterfalse(self.new.__contains__, tokens)):
+            self.learn(self.recall(missing))
+        return list(map(self.new.__getitem__, tokens))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        odd = pc.match_substring_regex(texts, _ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = pc.fill_null(odd, False)
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(pc.if_else(odd, "", texts), "")))
+        tokens = lists.values.dictionary_encode()
+        known = self.look_up(tokens.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        which = tokens.indices.to_numpy()
+        n = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], n)].tobytes()
+        cuts = (4 * ends[lists.offsets.to_numpy()]).tolist()
+        out = [raw[a:b] for a, b in pairwise(cuts)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
@@ -154,9 +195,9 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int = 2, window: int = WINDOW
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         tokenizer, windows = WordTokenizer(vocab_path), Windows(part << 32, window, open_windows)
-        for batch in by_bytes(batches, 1 << 20):
+        for batch in by_bytes(batches):
             done = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(batch.column("text")), strict=True):
                 done += windows.put(doc_id, ids + end, 0, len(ids) // 4 + 1)
             yield _rows(done, keep_ids)
         if left := windows.left():

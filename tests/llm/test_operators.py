@@ -7,10 +7,12 @@ import random
 import re
 import tempfile
 import tracemalloc
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,6 +399,25 @@ def test_packing_fills_windows_and_keeps_every_id(spark):
     assert ((sizes == 64) | (sizes & (sizes - 1) == 0)).all() and (sizes == 64).mean() > 0.9
 
 
+def test_words_met_again_stay_known_and_ids_are_the_tokenizers_own(monkeypatch):
+    """When the memory of words was full, all of it was forgotten, and frequent words were encoded again and again."""
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 60)
+    tokenizer, learnt = packing.WordTokenizer(vocab("word_bpe_49k.json")), Counter()
+    learn = tokenizer.learn
+    monkeypatch.setattr(tokenizer, "learn", lambda tokens: (learnt.update(tokens), learn(tokens)))
+    plain = [chr(c) for c in range(1, 0x180) if not re.search(packing._ODD, chr(c))]
+    assert all(len(c.lower()) == 1 and (c.isspace() or c.lower() == pc.utf8_lower(c).as_py()) for c in plain)
+    texts = [f"the Alpha, {' '.join(f'word{i}x{j}' for j in range(9))} beta's" for i in range(30)]
+    odd = [None, "", " \n\t ", "".join(plain), " ".join(plain), "İstanbul ΣΑΣ x́", "a <|endoftext|> b", "a <|End b", "A\u2003b", "--'ll''s!'re 12a_b"]
+    texts += odd
+    for size in (3, 50):
+        got = [ids for a in range(0, len(texts), size) for ids in tokenizer.encode(pa.array(texts[a : a + size], pa.string()))]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        if size == 3:
+            assert learnt["the"] == learnt["alpha,"] == learnt["beta's"] == 1 and learnt["word0x0"] == 1
+    assert tokenizer.encode(pa.array([None, None], pa.string())) == [b"", b""] == tokenizer.encode(pa.array(["", " "], pa.large_string()))
+
+
 def test_language_rules_speak_only_of_languages_they_cover(spark):
     def made(letters, sizes, n, seed):
         r = random.Random(seed)
