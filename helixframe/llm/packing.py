@@ -6,8 +6,8 @@ merged at the end, in groups of partitions, the same way; the last window of a g
 every sequence is full or a power of two long, and nothing is padded.
 
 Tokens are made once: documents are read in one pass, whole; only the pieces of windows left open (a fixed number per
-partition) meet in a shuffle. Words met before in a task are looked up, about KNOWN_WORDS of
-them.
+partition) meet in a shuffle. Words met before in a task are looked up, about
+KNOWN_WORDS of them.
 
 Defined results: a null or empty text is the end token alone; repeated rows are documents each; an empty table gives
 no piece; extra columns are ignored. sequence_id depends on how the input is split, the pieces' contents don't.
