@@ -6,6 +6,7 @@ None collects rows, and none gathers a group in one task unless a window's parti
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,11 +148,11 @@ def upsert(*layers: DataFrame, keys: Sequence[str]) -> DataFrame:
     return all_.withColumns({"__n": last}).where("__n = 1").drop("__layer", "__n")
 
 
-def linear_score(features: Sequence[str], weights: Sequence[float], bias: float) -> Column:
-    """The margin of a linear model. M4."""
+def linear_score(features: Sequence[str], weights: Sequence[float | Decimal], bias: float) -> Column:
+    """The margin of a linear model. A Decimal times a feature of whole numbers is exact before it is added. M4."""
     out = F.lit(float(bias))
     for f, w in zip(features, weights, strict=True):
-        out = out + F.col(f) * F.lit(float(w))
+        out = out + (F.col(f) * F.lit(w if isinstance(w, Decimal) else float(w))).cast("double")
     return out
 
 
